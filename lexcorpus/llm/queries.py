@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm import packing, token_counts
-from lexcorpus.llm.common import table
+from lexcorpus.llm import langid, packing, token_counts, toxicity
+from lexcorpus.llm.common import held_out, table
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = langid.fit(docs.where(~F.col("held_out")), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), toxicity.fit(docs, labels.where(~held_out())))
+    return scored.drop("text").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -24,7 +36,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op8_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op3_language_id, op6_toxicity, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
