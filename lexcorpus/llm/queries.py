@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm import langid, near_dup, packing, secret_scan, token_counts, toxicity
+from lexcorpus.llm import langid, licenses, near_dup, packing, secret_scan, tiff, token_counts, toxicity
 from lexcorpus.llm.common import held_out, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"), "unmatched")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the packed documents, with a checksum in place of their ids."""
     pieces = packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -36,6 +41,28 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utf8 = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", utf8.alias("utf8")).withColumn("n_bytes", F.octet_length("utf8").cast("long"))
+    padding = F.greatest(F.ceil(F.col("n_bytes") / tiff.WIDTH), F.lit(1)) * tiff.WIDTH - F.col("n_bytes")
+    # A byte 255 is no UTF-8, so the padding is made as hexadecimal digits.
+    stored = docs.withColumn("media", tiff.encoded(F.concat("utf8", F.unhex(F.repeat(F.lit("FF"), padding.cast("int"))))))
+    read = stored.withColumn("pages", tiff.decoded(F.col("media")))
+    read = read.withColumn("payload", F.aggregate("pages", F.lit(b""), lambda out, p: F.concat(out, p["pixels"])))
+    levels = F.aggregate("pages", F.array_repeat(F.lit(0), 8), lambda out, p: F.zip_with(out, p["levels"], lambda a, b: a + b))
+    feature = F.concat_ws(";", F.concat(F.lit("pages="), F.size("pages")), F.concat(F.lit("rows="), F.aggregate("pages", F.lit(0), lambda n, p: n + p["height"])), F.concat(F.lit("levels="), F.concat_ws(",", levels.cast("array<string>"))))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), toxicity.fit(docs, labels.where(~held_out())))
@@ -53,8 +80,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_language_id, op4_secret_scan, op6_toxicity, op7_ngram_jaccard, op8_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_language_id, op4_secret_scan, op5_tiff, op6_toxicity, op7_ngram_jaccard, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the license scan can be written in SQL; tests hold the others against plain code."""
+    return {"op1_license_scan": licenses.oracle("documents")}
