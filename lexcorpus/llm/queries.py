@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm import langid, licenses, near_dup, packing, secret_scan, tiff, token_counts, toxicity
+from lexcorpus.llm import cover_tree, langid, licenses, near_dup, packing, secret_scan, tiff, token_counts, toxicity
 from lexcorpus.llm.common import held_out, table
 
 
@@ -79,10 +79,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    best = cover_tree.top_k(vectors.select("vec_id", F.when(finite, whole).alias("vector")), F.col("vec_id") % 20 == 0)
+    return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_language_id, op4_secret_scan, op5_tiff, op6_toxicity, op7_ngram_jaccard, op8_token_counts)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_language_id, op4_secret_scan, op5_tiff, op6_toxicity, op7_ngram_jaccard, op8_token_counts, op9_cover_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the license scan can be written in SQL; tests hold the others against plain code."""
-    return {"op1_license_scan": licenses.oracle("documents")}
+    """What can be written in SQL; tests hold the others against plain code."""
+    top = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20"""
+    return {"op1_license_scan": licenses.oracle("documents"), "op9_cover_tree": top}
