@@ -15,6 +15,8 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     Row r, column j of the prefix hashes is the hash of the first j characters of string r.
     """
+    if not strings:
+        return
     lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
     order = np.argsort(lengths, kind="stable")
     starts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
