@@ -48,7 +48,7 @@ KINDS = ("arguments", "brief", "reasoning", "strategy", "timeline", "issues")
 def analysis_coverage(cases: DataFrame, cache: DataFrame) -> DataFrame:
     """cache (cache_key 'case:kind'): which analyses of each case exist, which are pending, and whether all do."""
     keys = F.split("cache_key", ":", 2)
-    done = cache.select(keys[0].alias("case_id"), keys[1].alias("kind")).groupBy("case_id").pivot("kind", list(KINDS)).agg(F.count("*"))
+    done = cache.select(keys[0].alias("case_id"), keys[1].alias("kind")).groupBy("case_id").pivot("kind", list(KINDS)).agg(F.count(F.lit(1)))
     joined = cases.select("case_id").join(done, "case_id", "left")
     have = {k: F.coalesce(F.col(k), F.lit(0)) > 0 for k in KINDS}
     pending = F.array_join(F.array_compact(F.array(*[F.when(~h, k) for k, h in have.items()])), ",")
