@@ -181,7 +181,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     signatures = checkpointed(source.mapInPandas(signed, f"id {id_type}, text string, k1 long, k2 long, print binary, bands array<bigint>".replace("text string, ", "")))
     grouped = signatures.where(F.col("print").isNotNull()).groupBy("print")
-    nodes = checkpointed(grouped.agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct("k1", "k2")).alias("row"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = checkpointed(grouped.agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("row"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
     met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = met.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("first")).where("m > 1")
@@ -237,18 +237,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     info = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = info.groupBy("root").agg(F.min("least").alias("class_least"), F.min(F.struct(F.col("least").isNull(), "least", "row"))["row"].alias("class_row"))
-    info = info.join(classes, "root").select("print", "least", "class_least", "class_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    classes = info.groupBy("root").agg(F.min("row").alias("class_row"))
+    info = info.join(classes, "root").select("print", F.col("row.id").alias("least"), "class_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     made = signatures.select("id", "k1", "k2", "print").join(info, "print", "left")
     alone = F.col("print").isNull()
     return made.select(
         F.col("id").alias(id_col),
         "k1",
         "k2",
-        F.when(alone, F.col("id")).otherwise(F.col("class_least")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("class_row.id")).alias("class_id"),
         F.when(alone, F.col("id")).otherwise(F.col("least")).alias("copy_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
-        (alone | (F.col("class_row") == F.struct("k1", "k2"))).alias("kept"),
+        (alone | ((F.col("class_row.k1") == F.col("k1")) & (F.col("class_row.k2") == F.col("k2")))).alias("kept"),
     )
 
 
