@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words without which a text or sentence is not looked at.
-KEYWORDS = ("licen", "copyright", "redistribut", "as is", "permission", "public domain", "warrant")
+KEYWORDS = ("licen", "copyright", "redistribut", "as is", "permission", "public domain", "warrant", "later version", "in the hope that", "endorse or promote", "all rights")
 #: Identifiers of licence sentences and how their normalised wording reads.
 SENTENCES = (
     ("Apache2", r"licensed under the apache license version 2"),
