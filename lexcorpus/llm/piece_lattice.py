@@ -60,9 +60,15 @@ class Pieces:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as an array; joined together they are the escaped text."""
+    """The words of a text as an array; joined together they are the escaped text.
+
+    Where spaces stand alone a plain split does; runs of spaces stay together in front of a word.
+    """
     escaped = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.split(escaped, rf"(?<=[^{MARK}])(?={MARK})|(?<=\n)|(?=\n)")).otherwise(F.array().cast("array<string>"))
+    runs = F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" ")) | F.contains(text, F.lit(MARK)) | F.contains(text, F.lit("\x01"))
+    alone = F.split(F.replace(F.replace(escaped, F.lit(MARK), F.lit("\x01" + MARK)), F.lit("\n"), F.lit("\x01\n\x01")), "\x01")
+    split = F.when(runs, F.split(escaped, rf"(?<=[^{MARK}])(?={MARK})|(?<=\n)|(?=\n)")).otherwise(alone)
+    return F.when(F.length(text) > 0, F.filter(split, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
 
 
 def _byte_ids(letters: Column, first_byte: int) -> Column:
@@ -116,8 +122,11 @@ def _encode_long(words: DataFrame, pieces: Pieces) -> DataFrame:
     return made.select("word", "n", F.col("path.score").alias("score"), F.col("path.ids").alias("ids"))
 
 
-def encode_words(words: DataFrame, model_path: str) -> DataFrame:
-    """Best paths of distinct words: `words` (word, n) -> word, n, score, ids."""
+def encode_words(words: DataFrame, model_path: str, decoded_col: str | None = None) -> DataFrame:
+    """Best paths of distinct words: `words` (word, n) -> word, n, score, ids.
+
+    With `decoded_col` the ids are decoded again, where they lie.
+    """
     spark, pieces = words.sparkSession, Pieces(model_path)
     words = checkpointed(words.select("word", "n"))
     short = words.where(F.length("word") <= LONG).repartition(max(1, math.ceil(words.count() / WORDS_A_PARTITION)), "word")
@@ -130,20 +139,24 @@ def encode_words(words: DataFrame, model_path: str) -> DataFrame:
     grouped = ends.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("steps"))  # at most LONG
     path, ids = _fold(pieces)
     best = grouped.withColumn("path", path).select("word", "n", F.element_at("path.score", -1).alias("score"), ids.alias("ids"))
-    return best.union(_encode_long(words.where(F.length("word") > LONG), pieces))
+    long = _encode_long(words.where(F.length("word") > LONG), pieces)
+    if decoded_col:
+        best, long = (decode(x, model_path, "word", out_col=decoded_col) for x in (best, long))
+    return best.union(long)
 
 
 def decode(df: DataFrame, model_path: str, key: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """(`key`, `out_col`): the text of each key's ids, word marks as spaces; keys must be distinct.
+    """`df` with `out_col`: the text of each row's ids, word marks as spaces; keys must be distinct.
 
     Control ids stand for nothing, and bytes that are no UTF-8 become replacement characters. The
-    mark that encoding puts in front of a text is kept. Keys whose ids are empty or null are left out.
+    mark that encoding puts in front of a text is kept. Rows whose ids are empty or null are left out.
     """
-    hexes = Pieces(model_path).hexes(df.sparkSession)
-    rows = df.select(key, F.posexplode(ids_col).alias("pos", "id")).join(F.broadcast(hexes), "id")
-    whole = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    text = F.make_valid_utf8(F.unhex(F.array_join(F.col("parts.hex"), "")).cast("string"))
-    return whole.select(key, text.alias(out_col))
+    hexes = Pieces(model_path).hexes(df.sparkSession).withColumnRenamed("id", "__id")
+    kept = [c for c in df.columns if c not in (key, out_col)]
+    rows = df.select(key, *kept, F.posexplode(ids_col).alias("__pos", "__id")).join(F.broadcast(hexes), "__id")
+    whole = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(F.struct("__pos", "hex"))).alias("__parts"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.col("__parts.hex"), "")).cast("string"))
+    return whole.select(*[c for c in df.columns if c != out_col], text.alias(out_col))
 
 
 def distinct_words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,4 +175,4 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     paths = encode_words(distinct_words(df, text_col), model_path).select("word", "ids")
     parts = spread.join(paths, "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     made = parts.select("__row", F.flatten("parts.ids").alias(out_col))
-    return rows.join(made, "__row", "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>"))).drop("__row")
+    return rows.drop(out_col).join(made, "__row", "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>"))).drop("__row")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcorpus.llm import cover_tree, langid, licenses, near_dup, packing, piece_lattice, secret_scan, tiff, token_counts, toxicity
-from lexcorpus.llm.common import checkpointed, held_out, table
+from lexcorpus.llm.common import held_out, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,9 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
     words = piece_lattice.distinct_words(table(spark, sf_dir, "documents"))
-    paths = checkpointed(piece_lattice.encode_words(words, model))
-    text = piece_lattice.decode(paths, model, "word")
-    return paths.join(text, "word").select("word", "n", F.size("ids").cast("long").alias("n_pieces"), "score", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "decoded")
+    paths = piece_lattice.encode_words(words, public_tokenizers.path("piece_bpe_32k.model"), "decoded")
+    return paths.select("word", "n", F.size("ids").cast("long").alias("n_pieces"), "score", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "decoded")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
