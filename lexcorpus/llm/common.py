@@ -33,14 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """About `rows` rows of `df` (all, if it has fewer), the same ones on every run.
 
-    Rows whose keys fall in the lowest part of the hash range are taken, so equal keys stay
-    together and the size is `rows` give or take its square root for distinct keys.
+    Rows whose keys fall in the lowest part of the hash range are taken, so the size is `rows`
+    give or take its square root for distinct keys; rows of equal keys stay together.
     """
     total = df.count()
     if total <= rows:
         return df
     steps = 1 << 30
-    return df.where(F.pmod(F.xxhash64(key), F.lit(steps)) < int(steps * rows / total))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(steps)) < int(steps * rows / total))

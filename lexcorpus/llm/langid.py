@@ -12,7 +12,8 @@ language, and each round's expected counts are summed over partitions of those w
 
 Texts that are null or hold no letter get `und` with score 0. Rows with a null language, null
 text or a null id take part in prediction but not in training. Texts are read whole. With no
-training row at all every text is `und`. Columns beside the text pass through untouched.
+training row at all every text is `und`. Columns beside the text pass through untouched, but ones
+with the outputs' names are replaced.
 """
 
 from __future__ import annotations
@@ -121,10 +122,11 @@ class Unigrams:
 def fit(df: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", train_rows: int = 20_000, rounds: int = 3) -> Unigrams:
     """Fits on the rows of `df` with a text and a language, on about `train_rows` of them at most.
 
-    That bound keeps the word counts small; rows are chosen by a hash of their text.
+    That bound keeps the word counts small. Rows are chosen by a hash of all their columns, so
+    that copies of one text under many ids are not chosen together.
     """
-    known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = hash_sample(known, "text", train_rows)
+    known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    sample = hash_sample(known, known.columns, train_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()

@@ -8,7 +8,8 @@ it takes is not open to later rules.
 
 Everything is a column expression over one row: no shuffle, no Python. Null texts count as empty;
 texts without a licensing sentence get no license. Line ends count as spaces, so wrapped sentences
-are found, and text in front of or behind a known wording in its sentence does no harm.
+are found, and text in front of or behind a known wording in its sentence does no harm. Other
+columns pass through, but ones with the outputs' names are replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ themselves are never written. Classes are the connected components of those link
 Texts of fewer words than `n` are one n-gram of all their words. Null texts and texts without a
 word have no n-gram: they link to nothing, and each is a class of its own. Null and repeated ids
 are allowed: rows are told apart by id and text, and a class takes the least non-null id of its
-members. Every row of the input gives one row, repeated rows included.
+members. Every row of the input gives one row, repeated rows included; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ from the sentencepiece library on the same pieces in unigram mode, not as from i
 
 Words are laid out by hash once, and every later step groups by word, so the lattice itself is
 never shuffled. Words over `LONG` letters take the same recurrence in a per-word fold whose state
-is one score and one step per letter. Null and empty texts have no pieces.
+is one score and one step per letter. Null and empty texts have no pieces. Repeated texts get equal
+ids; other columns pass through, but one with the output's name is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ pattern covers, or that lie within a base span or an earlier class's span, are l
 spans always stay.
 
 Positions are code points, ends exclusive. Null texts count as empty; texts are read whole. A text
-without secrets has an empty list of spans.
+without secrets has an empty list of spans. Other columns pass through, but one with the output's
+name is replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the strings that encode alone as one token. Counting then looks pre-tokens up in
 merges only the rest, each distinct one once per worker while the cache holds it.
 
 Null texts count as empty and have no token; texts of any length are read whole; equal texts get
-equal counts; columns beside the text pass through untouched.
+equal counts; columns beside the text pass through untouched, but one with the output's name is
+replaced.
 """
 
 from __future__ import annotations

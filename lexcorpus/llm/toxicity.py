@@ -9,7 +9,8 @@ It learns from rows with a text and a label (0 or 1) on `train_rows` of them at
 their square root, chosen by a hash of the id; that bound also bounds what the driver fits.
 Repeated labels of an id count once, as toxic if any says so. Null and empty texts have no feature
 and get the score of the intercept. With no labelled row every score is 0; with labels of one
-class only, the score is that class's share. Texts are read whole; other columns pass through.
+class only, the score is that class's share. Texts are read whole; other columns pass through, but
+one with the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, max_features: int = 4096, min_texts: int = 3, penalty: float = 1.0, steps: int = 300) -> Classifier:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = texts.join(F.broadcast(hash_sample(known, "id", train_rows)), "id").select("text", "y").persist()
+    train = texts.join(F.broadcast(hash_sample(known, ["id"], train_rows)), "id").select("text", "y").persist()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = _Features(None)
