@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             made["print"], made["bands"] = prints, keys
             yield made
 
-    signatures = checkpointed(source.mapInPandas(signed, f"id {id_type}, text string, k1 long, k2 long, print binary, bands array<bigint>".replace("text string, ", "")))
+    signatures = checkpointed(source.mapInPandas(signed, f"id {id_type}, k1 long, k2 long, print binary, bands array<bigint>"))
     grouped = signatures.where(F.col("print").isNotNull()).groupBy("print")
     nodes = checkpointed(grouped.agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("row"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
 
