@@ -9,14 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexcorpus.functions.dictionaries import TREATMENTS
-from lexcorpus.functions.text import escaped
 
 CLASSES = tuple(TREATMENTS)
 
 
 def counts(text: Column, phrases: Mapping[str, Sequence[str]] = TREATMENTS) -> dict[str, Column]:
-    """Occurrences of each class's phrases in any case; overlapping phrases count for themselves."""
-    return {c: F.coalesce(reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit("(?i)" + escaped(p))) for p in some]), F.lit(0)) for c, some in phrases.items()}
+    """Occurrences of each class's phrases in any case; overlapping phrases count for themselves.
+
+    A phrase is counted by how much shorter the text gets without it, far cheaper than a pattern.
+    """
+    low = F.lower(text)
+
+    def count(phrase: str) -> Column:
+        return ((F.length(low) - F.length(F.replace(low, F.lit(phrase.lower()), F.lit("")))) / len(phrase)).cast("int")
+
+    return {c: F.coalesce(reduce(lambda a, b: a + b, map(count, some)), F.lit(0)) for c, some in phrases.items()}
 
 
 def dominant(numbers: Mapping[str, Column]) -> Column:
