@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm import langid, near_dup, packing, queries, secret_scan, toxicity
+from lexcorpus.llm import langid, near_dup, queries, secret_scan, toxicity
 from lexcorpus.llm.common import checkpointed, held_out, table
 
 #: The least posterior of a language, and the least score of a toxic text.

@@ -106,4 +106,16 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS
       FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20"""
-    return {"op1_license_scan": licenses.oracle("documents"), "op9_cover_tree": top}
+    near = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w WHERE len(w) > 0),
+f AS (SELECT doc_id, g, md5(array_to_string(g, '|')) AS f FROM g),
+n AS (SELECT f, min(doc_id) AS node, count(*) AS copies, any_value(g) AS g FROM f GROUP BY f),
+e AS (SELECT node, len(g) AS k, unnest(g) AS s FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.s = b.s AND a.node <> b.node GROUP BY a.node, b.node, a.k, b.k HAVING count(*) >= 0.8 * (a.k + b.k - count(*)) - 1e-9),
+l AS (SELECT a AS node, sum(copies) AS links FROM p JOIN n ON n.node = p.b GROUP BY a),
+r AS (SELECT node, node AS root FROM n UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n.node, d.doc_id) AS copy_id, CAST(coalesce(links, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
+FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN n ON n.f = f.f LEFT JOIN l ON l.node = n.node LEFT JOIN c ON c.node = n.node"""
+    return {"op1_license_scan": licenses.oracle("documents"), "op7_ngram_jaccard": near, "op9_cover_tree": top}
