@@ -9,8 +9,7 @@ from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import prominence as P
 from lexcorpus.functions import text as X
 from lexcorpus.functions import treatment as T
-from lexcorpus.operators import citations, evidence, facets, query_tables, search, vectors
-from lexcorpus.operators import rank as ranking
+from lexcorpus.operators import citations, evidence, facets, query_tables, vectors
 from lexcorpus.plans.fixtures import Fixtures, oracle
 from lexcorpus.sources import ingest, tables
 from lexcorpus.streaming import incremental

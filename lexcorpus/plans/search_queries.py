@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import text as X
 from lexcorpus.operators import evidence, rank, search
 from lexcorpus.operators.search import act_contains, array_contains_like, at_least, field_contains, name_has, near, phrase, prefix, same_paragraph, same_sentence, term, wildcard, within, year_is
