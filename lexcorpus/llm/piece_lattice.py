@@ -18,8 +18,10 @@ ids; other columns pass through, but one with the output's name is replaced.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from lexcorpus.llm.common import checkpointed
 MARK = "▁"
 #: Letters up to which a word's substrings are exploded, and distinct words in one partition.
 LONG, WORDS_A_PARTITION = 64, 20_000
+#: Words whose paths are broadcast when whole texts are encoded; the rest is joined by a shuffle.
+FREQUENT = 50_000
 #: Fixed value: what an unknown letter scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -54,10 +58,10 @@ class Pieces:
         """piece, id, score; its size is that of the vocabulary."""
         return spark.createDataFrame(self.normal, "piece string, id int, piece_score double")
 
-    def hexes(self, spark: SparkSession) -> DataFrame:
-        """id and the UTF-8 it stands for, as hexadecimal digits."""
-        rows = [(i, p.replace(MARK, " ").encode().hex()) for p, i, _ in self.normal] + [(self.first_byte + b, f"{b:02x}") for b in range(256)]
-        return spark.createDataFrame(rows, "id int, hex string")
+    def hexes(self) -> list[str]:
+        """Per id the UTF-8 it stands for, as hexadecimal digits; nothing for control ids."""
+        known = {i: p.replace(MARK, " ").encode().hex() for p, i, _ in self.normal} | {self.first_byte + b: f"{b:02x}" for b in range(256)}
+        return [known.get(i, "") for i in range(max(known) + 1)]
 
 
 def words_of(text: Column) -> Column:
@@ -146,18 +150,21 @@ def encode_words(words: DataFrame, model_path: str, decoded_col: str | None = No
     return best.union(long)
 
 
+def decoded_text(ids: Column, pieces: Pieces) -> Column:
+    """The text of an array of ids, looked up in a literal table of the vocabulary's size."""
+    table = F.split(F.lit(",".join(pieces.hexes())), ",")
+    digits = F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.get(table, i))), "")
+    return F.make_valid_utf8(F.unhex(digits).cast("string"))
+
+
 def decode(df: DataFrame, model_path: str, key: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`df` with `out_col`: the text of each row's ids, word marks as spaces; keys must be distinct.
 
     Control ids stand for nothing, and bytes that are no UTF-8 become replacement characters. The
     mark that encoding puts in front of a text is kept. Rows whose ids are empty or null are left out.
     """
-    hexes = Pieces(model_path).hexes(df.sparkSession).withColumnRenamed("id", "__id")
-    kept = [c for c in df.columns if c not in (key, out_col)]
-    rows = df.select(key, *kept, F.posexplode(ids_col).alias("__pos", "__id")).join(F.broadcast(hexes), "__id")
-    whole = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in kept], F.sort_array(F.collect_list(F.struct("__pos", "hex"))).alias("__parts"))
-    text = F.make_valid_utf8(F.unhex(F.array_join(F.col("__parts.hex"), "")).cast("string"))
-    return whole.select(*[c for c in df.columns if c != out_col], text.alias(out_col))
+    rows = df.where(F.size(ids_col) > 0)
+    return rows.select(*[c for c in df.columns if c != out_col], decoded_text(F.col(ids_col), Pieces(model_path)).alias(out_col))
 
 
 def distinct_words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -168,12 +175,36 @@ def distinct_words(df: DataFrame, text_col: str = "text") -> DataFrame:
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Adds `out_col`: the ids of each whole text (empty for null and empty texts).
 
-    Unlike `encode_words` this brings the paths back to every occurrence, which shuffles one row
-    per word of each text.
+    Unlike `encode_words` this brings the paths back to every occurrence. Those of the `FREQUENT`
+    commonest words are broadcast; every other occurrence is shuffled to its word and back to its text.
     """
+    spark = df.sparkSession
     rows = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    paths = checkpointed(encode_words(distinct_words(rows, text_col), model_path).select("word", "n", "ids"))
+    frequent = paths.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    names = spark.createDataFrame([(r.word,) for r in frequent], "word string")
+    table = spark.sparkContext.broadcast({r.word: struct.pack(f"<{len(r.ids)}i", *r.ids) for r in frequent})
+
     spread = rows.select("__row", F.posexplode(words_of(F.col(text_col))).alias("pos", "word"))
-    paths = encode_words(distinct_words(df, text_col), model_path).select("word", "ids")
-    parts = spread.join(paths, "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    made = parts.select("__row", F.flatten("parts.ids").alias(out_col))
-    return rows.drop(out_col).join(made, "__row", "left").withColumn(out_col, F.coalesce(out_col, F.array().cast("array<int>"))).drop("__row")
+    rare = spread.join(F.broadcast(names), "word", "left_anti").join(paths.select("word", "ids").hint("shuffle_merge"), "word")
+    parts = rare.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    parts = parts.select("__row", F.col("parts.pos").alias("__pos"), F.transform("parts.ids", F.size).alias("__sizes"), F.flatten("parts.ids").alias("__ids"))
+
+    @F.pandas_udf("array<int>")
+    def assembled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        known = table.value
+        for batch in batches:
+            out = []
+            for text, pos, sizes, ids in zip(*batch):
+                found = list(map(known.get, text.split(" "))) if text else []
+                if pos is not None:
+                    flat, at = np.asarray(ids, "<i4").tobytes(), 0
+                    for p, n in zip(pos, sizes):
+                        found[p] = flat[at : at + 4 * n]
+                        at += 4 * n
+                out.append(np.frombuffer(b"".join(found), "<i4"))
+            yield pd.Series(out, dtype=object)
+
+    # A word holds no space, so that joined words come apart again.
+    made = rows.drop(out_col).join(parts, "__row", "left")
+    return made.withColumn(out_col, assembled(F.array_join(words_of(F.col(text_col)), " "), "__pos", "__sizes", "__ids")).drop("__row", "__pos", "__sizes", "__ids")

@@ -407,6 +407,21 @@ def test_paths_equal_plain_viterbi(spark, docs):
     assert all(r.decoded == r.word.replace("▁", " ") for r in got)
 
 
+def test_lattice_query_covers_whole_documents(spark, folder, docs, monkeypatch):
+    monkeypatch.setattr(piece_lattice, "FREQUENT", 100)  # so that both ways back to the texts are taken
+    got = {r.doc_id: r for r in queries.op10_piece_lattice(spark, folder).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys() and len(got) == docs.count()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for k, t in texts.items():
+        assert got[k].decoded_sha256 == sha(t.replace(piece_lattice.MARK, " "))
+    pieces = piece_lattice.Pieces(PIECES)
+    for k in sorted(texts, key=lambda k: (len(texts[k]), k))[:40]:
+        words = [w for w in re.split(r"(?<=[^▁])(?=▁)|(?<=\n)|(?=\n)", piece_lattice.MARK + texts[k].replace(" ", piece_lattice.MARK)) if w] if texts[k] else []
+        ids = [i for w in words for i in plain_path(pieces, w)[1]]
+        assert (got[k].n_pieces, got[k].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+
+
 def test_texts_round_trip(spark, odd):
     short = odd.where(F.length("text") < 1000)
     got = piece_lattice.encode(short, PIECES).withColumn("k", F.monotonically_increasing_id()).cache()
