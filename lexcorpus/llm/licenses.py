@@ -1,10 +1,13 @@
 """License scan by sentence rules.
 
-A text is cut into sentences; each is normalised to lower-case letters and digits with single
-spaces. Sentences that hold a licensing keyword are mapped to the identifier of the first pattern
-in `SENTENCES` that occurs in them, or to `Unknown`. The sequence of a text's identifiers is then
-matched against `RULES` in order: a rule takes every run of identifiers equal to its own, and what
-it takes is not open to later rules.
+A text is cut into sentences and these at semicolons and colons into clauses; each is normalised
+to lower-case letters and digits with single spaces. Every pattern of `SENTENCES` that occurs in a
+sentence gives its identifier, in order of position; where patterns overlap the earlier one in the
+list has the words, and a pattern may run across clauses. A clause without any that holds a
+licensing keyword gives `Unknown`. The sequence of a text's identifiers is then matched against
+`LATER` and `RULES` in order: a rule takes every run of identifiers equal to its own, and what it
+takes is not open to later rules. `oracle` cuts at clauses and knows one identifier a clause, and
+only in clauses with a keyword, so it agrees on texts whose notices are short sentences.
 
 Everything is a column expression over one row: no shuffle, no Python. Null texts count as empty;
 texts without a licensing sentence get no license. Line ends count as spaces, so wrapped sentences
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Words without which a text or sentence is not looked at.
 KEYWORDS = ("licen", "copyright", "redistribut", "as is", "permission", "public domain", "warrant", "later version", "in the hope that", "endorse or promote", "all rights")
+#: Parts of single words; a text without any of them matches no pattern.
+STEMS = ("licen", "copyright", "permission", "warrant", "basis", "version", "hope", "redistribut", "endorse", "software", "cc", "creative", "rights")
 #: Identifiers of licence sentences and how their normalised wording reads.
 SENTENCES = (
     ("Apache2", r"licensed under the apache license version 2"),
@@ -77,31 +82,35 @@ RULES = (
     ("ISC", ("Isc",)),
     ("Unlicense", ("Unlicense",)),
 )
-_CUT = "\x01"
+#: Rules over both halves of a notice, tried before `RULES`.
+LATER = (("AGPL-3.0-or-later", ("Agpl3", "GplLater")), ("LGPL-2.1-or-later", ("Lgpl21", "GplLater")), ("LGPL-3.0-or-later", ("Lgpl3", "GplLater")))
+_CUT, _CLAUSE = "\x01", "\x02"
 
 
-def _any(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in KEYWORDS])
+def _any(text: Column, parts: tuple[str, ...] = KEYWORDS) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in parts])
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text in lower case, as an array."""
-    cut = F.split(F.regexp_replace(text, r"([.!?;:])\s+", f"$1{_CUT}"), _CUT)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def clauses(text: Column) -> Column:
+    """Normalised clauses of a text in lower case, as an array; `<Name>` in place of what a pattern matched."""
+    cut = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(_CLAUSE), F.lit(" ")), r"[.!?]\s+", _CUT), r"[;:]\s+", _CLAUSE)
+    flat = F.regexp_replace(F.regexp_replace(cut, f"[^a-z0-9{_CUT}{_CLAUSE}]+", " "), f" ?([{_CUT}{_CLAUSE}]) ?", "$1")
+    for known, pattern in SENTENCES:
+        flat = F.regexp_replace(flat, rf"\b(?:{pattern.replace(' ', f'[ {_CLAUSE}]')})\b", f"<{known}>")
+    return F.split(flat, f"[{_CUT}{_CLAUSE}]")
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's licensing sentences in order, as an array."""
 
-    def name(s: Column) -> Column:
-        chain = F.when(s.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-        for known, pattern in SENTENCES[1:]:
-            chain = chain.when(s.rlike(pattern), known)
-        return chain.otherwise("Unknown")
+    def names(s: Column) -> Column:
+        unknown = F.when(_any(s), F.array(F.lit("Unknown"))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.contains(s, F.lit("<")), F.regexp_extract_all(s, F.lit("<([A-Za-z0-9]+)>"), F.lit(1))).otherwise(unknown)
 
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.transform(F.filter(sentences(low), _any), name)
-    return F.when(_any(low), found).otherwise(F.array().cast("array<string>"))
+    found = F.flatten(F.transform(clauses(low), names))
+    # Keywords of two words count on one line only, patterns across lines as well.
+    return F.when(_any(low), found).when(_any(low, STEMS), F.filter(found, lambda s: s != "Unknown")).otherwise(F.array().cast("array<string>"))
 
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "licenses", ids_col: str = "sentence_ids", rest_col: str = "unmatched") -> DataFrame:
@@ -109,13 +118,13 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "licenses", ids_c
     made = df.withColumn(ids_col, identifiers(F.col(text_col)))
     left = F.array_join(F.transform(ids_col, lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     names = []
-    for k, (license_, rule) in enumerate(RULES):
+    for k, (license_, rule) in enumerate(LATER + RULES):
         wanted = "".join(f"<{s}>" for s in rule)
         made = made.withColumns({f"__left{k}": left})
         names.append(F.when(F.contains(F.col(f"__left{k}"), F.lit(wanted)), F.lit(license_)))
         left = F.replace(F.col(f"__left{k}"), F.lit(wanted), F.lit("|"))  # keeps what stood apart from joining up
     made = made.withColumns({out_col: F.array_distinct(F.array_compact(F.array(*names))), rest_col: F.regexp_count(left, F.lit("<")).cast("long")})
-    return made.drop(*[f"__left{k}" for k in range(len(RULES))])
+    return made.drop(*[f"__left{k}" for k in range(len(LATER + RULES))])
 
 
 def oracle(table: str, id_col: str = "doc_id") -> str:

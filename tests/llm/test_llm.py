@@ -80,6 +80,29 @@ def test_license_rules(spark):
     assert licenses.scan(spark.createDataFrame([(gpl,)], "text string")).first().sentence_ids == ["Gpl2", "GplLater"]
 
 
+def test_full_license_notices(spark):
+    head = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\n"
+    rest = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n'
+    rows = [
+        (head.format(";", "", ";", "2") + rest, ["GPL-2.0-or-later"]),
+        (head.format(":", "", ",", "3") + rest, ["GPL-3.0-or-later"]),
+        (head.format(";", "Lesser ", ";", "2.1") + rest, ["LGPL-2.1-or-later"]),
+        (head.format(":", "Affero ", ",", "3") + rest, ["AGPL-3.0-or-later"]),
+        ("Under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        (apache, ["Apache-2.0"]),
+        ("License: CC BY 4.0", ["CC-BY-4.0"]),
+        ("This work is marked with CC0 1.0", ["CC0-1.0"]),
+        ("Shared as Creative Commons\nAttribution-ShareAlike 4.0 International.", ["CC-BY-SA-4.0"]),
+        ("Released under the MIT License; text under CC BY-NC 4.0; my own license for the rest.", ["MIT", "CC-BY-NC-4.0"]),
+        ("We accept version 2 of the plan.", []),
+    ]
+    got = {r.i: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, text string")).collect()}
+    assert [got[i].licenses for i in range(len(rows))] == [x for _, x in rows]
+    assert got[0].sentence_ids == ["Gpl2", "GplLater", "GplHope", "Unknown", "Unknown"] and got[9].sentence_ids == ["MitName", "CcByNc4", "Unknown"]
+    assert got[5].sentence_ids == ["Apache2", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"] and got[10].sentence_ids == []
+
+
 # 2 packing
 
 
