@@ -9,7 +9,7 @@ from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import prominence as P
 from lexcorpus.functions import text as X
 from lexcorpus.functions import treatment as T
-from lexcorpus.operators import citations, evidence, facets, query_tables, vectors
+from lexcorpus.operators import citations, evidence, facets, query_tables, search, vectors
 from lexcorpus.plans.fixtures import Fixtures, oracle
 from lexcorpus.sources import ingest, tables
 from lexcorpus.streaming import incremental
@@ -67,6 +67,8 @@ a AS (SELECT e.at AS root, case_id, 1 AS depth, relationship, confidence, [e.at,
 b AS (SELECT root, e.case_id, 2 AS depth, e.relationship, e.confidence, list_append(path, e.case_id) AS path FROM a JOIN e ON e.at = a.case_id WHERE NOT list_contains(path, e.case_id))
 SELECT root, case_id, depth, relationship, round(confidence, 6) AS confidence, array_to_string(path, '/') AS path FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 register("j4_citation_tree", _TREE)(lambda f: citations.citation_tree(f.cites, f.spark.createDataFrame([("1",), ("7",), ("8",)], "case_id string")).withColumns({"path": F.array_join("path", "/"), "confidence": F.round("confidence", 6)}))
+# j4_citation_tree keeps its three roots, as its SQL does; this is the whole job.
+register("j4_citation_tree_all", _TREE.replace("e.at IN ('1', '7', '8')", "CAST(e.at AS BIGINT) % 20 = 0"))(lambda f: citations.citation_tree(f.cites, f.cases.where(F.col("case_id").cast("bigint") % 20 == 0).select("case_id")).withColumns({"path": F.array_join("path", "/"), "confidence": F.round("confidence", 6)}))
 register("j6_case_details", """n AS (SELECT cited_case_id AS case_id, count(*) AS c FROM cites GROUP BY 1), a AS (SELECT case_id, count(*) AS c FROM acts GROUP BY 1),
 o AS (SELECT source_case_id AS case_id, count(*) AS c, FROM cites GROUP BY 1), p AS (SELECT case_id, count(*) AS c FROM paras GROUP BY 1)
 SELECT case_id, case_name, coalesce(n.c, 0) AS cited_by_count, CAST(least(20, coalesce(a.c, 0)) AS INT) AS n_acts, CAST(least(20, coalesce(o.c, 0)) AS INT) AS n_out, CAST(least(20, coalesce(n.c, 0)) AS INT) AS n_in, CAST(least(10, coalesce(p.c, 0)) AS INT) AS n_paragraphs
@@ -132,14 +134,19 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS id, round(list_dot_product(q.v, d
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s)"""
 
 
-def nearest(f: Fixtures, k: int = 20) -> DataFrame:
+def nearest(f: Fixtures, k: int = 20, asked: str = "id < 10") -> DataFrame:
     rows = f.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.vector_topk(rows.where("id < 10").withColumnRenamed("id", "query_id"), rows, k)
+    return vectors.vector_topk(rows.where(asked).withColumnRenamed("id", "query_id"), rows, k)
 
 
 register("k9_vector_topk", "WITH " + _NEAREST + " SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= 20")(lambda f: nearest(f).withColumn("score", F.round("score", 6)))
 
 
+# k9_vector_topk keeps its ten queries, as its SQL does; this is the whole job.
+EVERY = "id % 20 = 0"
+register("k9_vector_topk_all", "WITH " + _NEAREST.replace("q.vec_id < 10", "q.vec_id % 20 = 0") + " SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= 20")(lambda f: nearest(f, asked=EVERY).withColumn("score", F.round("score", 6)))
+
+
 @register("x20_embed")
 def embedded(f: Fixtures) -> DataFrame:
     import numpy as np
@@ -182,6 +189,34 @@ def hybrid(f: Fixtures) -> DataFrame:
     return vectors.hybrid(asked, lexical, named, near, f.cases_with_lists, f.cites, year_from=1960).withColumn("rerank_score", F.round("rerank_score", 6))
 
 
+def asked_all(f: Fixtures) -> DataFrame:
+    """query_id, query: for every vector of `EVERY` the first two longer words of the name of the case it falls on."""
+    count = f.raw("documents").agg(F.count("*").alias("n"))
+    ids = f.raw("embeddings").select(F.col("vec_id").alias("id")).where(EVERY).join(F.broadcast(count)).select(F.col("id").alias("query_id"), (F.col("id") % F.col("n")).cast("string").alias("case_id"))
+    words = F.slice(F.filter(F.array_distinct(X.tokens(F.col("case_name"))), lambda w: F.length(w) > 2), 1, 2)
+    return ids.join(f.cases, "case_id").select("query_id", F.array_join(words, " ").alias("query")).where("query <> ''")
+
+
+def word_hits(asked: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """query_id and key of the rows whose text holds every word of the query."""
+    terms = asked.select("query_id", F.split("query", " ").alias("terms"))
+    return search.search_many(terms, rows.select(F.col(key).alias("case_id"), F.col(text).alias("text"))).select("query_id", F.col("case_id").alias(key))
+
+
+@register("r7_hybrid_all")
+def hybrid_all(f: Fixtures) -> DataFrame:
+    """The whole job of r7: every query of `EVERY` by its own words in paragraphs, in names and by its vector.
+
+    No SQL: a test compares it with plain code. r7_hybrid keeps its ten queries, as its SQL does.
+    """
+    asked = asked_all(f)
+    lexical = word_hits(asked, f.paras, "paragraph_id", "text").join(f.paras, "paragraph_id").select("query_id", "case_id", "paragraph_id", F.col("quality_score").alias("relevance_score"), F.lit("paragraph").alias("result_type"))
+    named = word_hits(asked, f.cases, "case_id", "case_name").withColumn("paragraph_id", F.lit(None).cast("string"))
+    count = f.raw("documents").agg(F.count("*").alias("n"))
+    near = nearest(f, asked=EVERY).join(F.broadcast(count)).select("query_id", (F.col("id") % F.col("n")).cast("string").alias("case_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("paragraph_id"), F.col("score").alias("relevance_score"), F.lit("paragraph").alias("result_type"))
+    return vectors.hybrid(asked, lexical, named, near, f.cases_with_lists, f.cites, year_from=1960).withColumn("rerank_score", F.round("rerank_score", 6))
+
+
 # Text functions
 register("x1_highlight", r"""SELECT case_id, para_no, instr(lower(text), 'rewh') > 0 AS found, CASE WHEN instr(lower(text), 'rewh') = 0 THEN substring(text, 1, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END
 ELSE CASE WHEN instr(lower(text), 'rewh') > 81 THEN '...' ELSE '' END || substring(text, greatest(1, instr(lower(text), 'rewh') - 80), least(length(text), instr(lower(text), 'rewh') + 83) - greatest(1, instr(lower(text), 'rewh') - 80) + 1) || CASE WHEN instr(lower(text), 'rewh') + 83 < length(text) THEN '...' ELSE '' END END AS window_text FROM paras""")(

@@ -13,6 +13,8 @@ from lexcorpus.functions import text as X
 from lexcorpus.functions import treatment as T
 from lexcorpus.operators import citations, evidence, query_tables, rank, search, vectors
 from lexcorpus.operators.search import at_least, near, phrase, same_paragraph, term, within
+from lexcorpus.plans import corpus_queries
+from lexcorpus.plans.corpus_queries import QUERIES
 from lexcorpus.plans.fixtures import Fixtures
 from lexcorpus.sources import ingest, tables
 from lexcorpus.streaming import incremental
@@ -186,6 +188,69 @@ def test_vectors_with_odd_rows(spark):
     assert got == [(1, 1), (5, 2), (4, 3)]
 
 
+def test_every_twentieth_row_is_asked(spark, folder, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", 7)  # several blocks of queries and of rows
+    monkeypatch.setattr(vectors, "ROWS_A_BLOCK", 100)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    best = {q: [ids[j] for j in np.argsort(-np.round(v[k] @ v.T, 9), kind="stable")[:20]] for k, q in enumerate(ids) if q % 20 == 0}
+    got = {}
+    for r in QUERIES["k9_vector_topk_all"](spark, folder).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == best and len(best) > 10
+
+
+def test_every_twentieth_case_is_a_root(spark, folder):
+    f = Fixtures(spark, folder)
+    edges = {(r.source_case_id, r.cited_case_id) for r in f.cites.where("cited_case_id IS NOT NULL").collect()}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    roots = [r.case_id for r in f.cases.collect() if int(r.case_id) % 20 == 0]
+    one = {(r, b) for r in roots for b in out.get(r, ()) if b != r}
+    two = {(r, b, c) for r, b in one for c in out.get(b, ()) if c not in (r, b)}
+    got = {r.path for r in QUERIES["j4_citation_tree_all"](spark, folder).select("path").collect()}
+    assert got == {"/".join(x) for x in one | two} and len({a for a, _ in one}) > 3
+
+
+def test_hybrid_of_every_query_equals_plain_code(spark, folder):
+    f = Fixtures(spark, folder)
+    asked = {r.query_id: r.query for r in corpus_queries.asked_all(f).collect()}
+    cases = {r.case_id: r for r in f.cases.collect()}
+    near = [r.asDict() for r in corpus_queries.nearest(f, asked=corpus_queries.EVERY).collect()]
+    degree = {r.source_case_id: min(r["count"], 10) for r in f.cites.groupBy("source_case_id").count().collect()}
+    held = lambda text: set(re.findall(r"\w+", (text or "").lower(), re.ASCII))
+    paras = [(r.case_id, r.paragraph_id, r.quality_score, held(r.text)) for r in f.paras.collect()]
+    names = [(k, held(c.case_name)) for k, c in cases.items()]
+    want = set()
+    for q, text in asked.items():
+        words = set(text.split())
+        hits = [(c, p, s, False) for c, p, s, t in paras if words <= t] + [(c, None, 0.95, True) for c, t in names if words <= t]
+        hits += [(str(r["id"] % len(cases)), f"v{r['id']}", r["score"], False) for r in near if r["query_id"] == q]
+        assert any(h[3] for h in hits)  # the case that gave the words
+        best = {}
+        for c, p, s, name in hits:
+            key = (-(s or 0), p is not None, p or "")
+            if c not in best or key < best[c][0]:
+                best[c] = (key, s, name)
+        rated = []
+        for c, (_, s, name) in best.items():
+            year = cases[c].year
+            if year is not None and year < 1960:
+                continue
+            recent = min(1, max(0, (year - 2010) / 20)) if year is not None else 0
+            score = 0.6 * (0.5 if s is None else s) + 0.2 * (degree.get(c, 0) / 10 if name else 0) + 0.2 * recent
+            m = sum(w in (cases[c].case_name or "").lower() for w in words)
+            rated.append((-(m if m >= 2 else 0), -score, c))
+        want |= {(q, k + 1, c, round(-s, 5), -b) for k, (b, s, c) in enumerate(sorted(rated)[:10])}
+    got = {(r.query_id, r.rank, r.case_id, round(r.rerank_score, 5), r.boost) for r in QUERIES["r7_hybrid_all"](spark, folder).collect()}
+    assert len(asked) > 10 and {g[0] for g in got} == {w[0] for w in want}
+    assert {(g[0], g[1], g[2], g[4]) for g in got} == {(w[0], w[1], w[2], w[4]) for w in want}
+
+
 def test_evidence_context(spark):
     rows = [("a", i, t, "text " * n) for i, (t, n) in enumerate([("facts", 1), ("Order", 200), ("odd", 1), ("facts", 0)])]
     got = evidence.evidence_context(spark.createDataFrame(rows, "case_id string, para_no int, para_type string, text string")).first().context
