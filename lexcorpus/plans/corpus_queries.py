@@ -295,9 +295,12 @@ register("s5_json_map", _STATUS.split("z AS (")[0] + "k2 AS (SELECT case_id, kin
 
 @register("i1_incremental_status", _STATUS + f"SELECT case_id, status, strength, {_LABEL} AS label FROM v")
 def incremental_status(f: Fixtures) -> DataFrame:
-    """The table as of one time, refreshed for what was cited since, equals the table computed anew."""
+    """The table made of the edges before a time, refreshed for those since, equals the table computed anew.
+
+    Cases that cite a target of a new edge are refreshed as well as the new edges' sources.
+    """
     since = F.lit("1997-01-01").cast("timestamp_ntz")
     now = F.lit("2000-01-01").cast("timestamp_ntz")
     edges = f.cites
-    before = citations.precedent_status(f.cases, edges).withColumn("updated_at", F.lit("1997-01-01").cast("timestamp_ntz"))
+    before = citations.precedent_status(f.cases, edges.where(F.col("created_at") < since)).withColumn("updated_at", F.lit("1997-01-01").cast("timestamp_ntz"))
     return incremental.refresh_since(before, f.cases, edges, since, now).select("case_id", "status", "strength", "label")

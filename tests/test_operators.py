@@ -271,6 +271,40 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert {g[0] for g in got} == {x[0] for x in fresh} and len(got & fresh) >= 0.9 * len(fresh)
 
 
+def test_refresh_reaches_cases_that_cite_a_changed_target(spark):
+    cases = spark.createDataFrame([(c,) for c in "abcz"], "case_id string")
+    old = [("a", "(2001) 1 SCC 1", "followed", 0.9, 1), ("b", "(2002) 2 SCC 2", "followed", 0.9, 1)]
+    new = [("c", "(2001) 1 SCC 1", "overruled", 0.9, 5) for _ in range(60)]
+    schema = "source_case_id string, target_citation string, relationship string, confidence double, created_at int"
+    every, earlier = spark.createDataFrame(old + new, schema), spark.createDataFrame(old, schema)
+    rows = lambda df: {r.case_id: (r.status, r.strength, r.label) for r in df.collect()}
+    before = citations.precedent_status(cases, earlier).withColumn("updated_at", F.lit(3))
+    whole, got = citations.precedent_status(cases, every), incremental.refresh_since(before, cases, every, F.lit(3), F.lit(9))
+    assert rows(got) == rows(whole) != rows(before)
+    assert {r.case_id for r in got.where("updated_at = 9").collect()} == {"a", "c"}
+
+
+def test_status_query_starts_from_the_earlier_edges(spark, folder, monkeypatch):
+    seen = {}
+    real = incremental.refresh_since
+    monkeypatch.setattr(incremental, "refresh_since", lambda status, *rest: seen.update(before=status) or real(status, *rest))
+    after = QUERIES["i1_incremental_status"](spark, folder)
+    rows = lambda df: {(r.case_id, r.status, r.strength) for r in df.collect()}
+    assert rows(seen["before"]) != rows(after)
+
+
+def test_stream_ends_equal_to_batch(spark, folder, tmp_path):
+    f = Fixtures(spark, folder)
+    cases, cites = f.cases, f.cites.where("source_case_id < '3'")
+    for k in range(2):
+        cites.where(F.pmod(F.hash("target_citation", "source_case_id"), F.lit(2)) == k).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(cites.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    incremental.stream_status(stream, cases, str(tmp_path / "edges"), str(tmp_path / "status"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.case_id, r.status, r.strength) for r in incremental.current_status(spark, str(tmp_path / "status")).collect()}
+    sources = {r.source_case_id for r in cites.select("source_case_id").distinct().collect()}
+    assert got == {(r.case_id, r.status, r.strength) for r in citations.precedent_status(cases, cites).collect() if r.case_id in sources}
+
+
 def test_document_stream_is_idempotent(spark, tmp_path):
     source, target = tmp_path / "docs", tmp_path / "out"
     source.mkdir()
