@@ -89,10 +89,19 @@ CASE WHEN overruled > 0 THEN 0 WHEN followed + affirmed + distinguished + doubte
 r AS (SELECT e.*, para_no, CAST(row_number() OVER (PARTITION BY source_case_id ORDER BY para_no NULLS LAST, target_citation, created_at, cited_case_id NULLS LAST, relationship, confidence) AS INT) AS rank FROM e LEFT JOIN paras USING (paragraph_id))
 SELECT source_case_id, rank, target_citation, cited_case_id, case_name AS cited_name, para_no, coalesce(context_sentence, '') AS context,
 CASE WHEN context_sentence IS NULL THEN 'cited' ELSE 'affirmed' END AS treatment, CASE WHEN context_sentence IS NULL THEN '' ELSE 'the claim is upheld by this court.' END AS cited_for FROM r LEFT JOIN cases ON cited_case_id = case_id WHERE rank <= 20""")
-def contexts(f: Fixtures) -> DataFrame:
+def contexts(f: Fixtures, n: int = 20) -> DataFrame:
     sentence = F.concat(F.lit("as held in "), "target_citation", F.lit(", the claim is upheld by this court. More."))
     edges = f.cites.withColumns({"context_sentence": F.when(F.col("source_case_id").cast("bigint") % 2 == 0, sentence), "paragraph_id": F.concat_ws("_", "source_case_id", F.length("target_citation") % 5)})
-    return citations.citation_contexts(edges, f.cases, f.paras, 20).drop("cited_year")
+    return citations.citation_contexts(edges, f.cases, f.paras, n).drop("cited_year")
+
+
+@register("j10_citation_contexts_all")
+def contexts_all(f: Fixtures) -> DataFrame:
+    """The whole job, up to the operator's 100 contexts a case; j10_citation_contexts keeps 20, as its SQL does."""
+    return contexts(f, n=100)
+
+
+SQL["j10_citation_contexts_all"] = SQL["j10_citation_contexts"].replace("rank <= 20", "rank <= 100")
 
 
 # Facets and lists

@@ -216,6 +216,12 @@ def test_every_twentieth_case_is_a_root(spark, folder):
     assert got == {"/".join(x) for x in one | two} and len({a for a, _ in one}) > 3
 
 
+def test_contexts_go_up_to_a_hundred(spark, folder):
+    edges = {r.source_case_id: r["count"] for r in Fixtures(spark, folder).cites.groupBy("source_case_id").count().collect()}
+    got = {r.source_case_id: r["count"] for r in QUERIES["j10_citation_contexts_all"](spark, folder).groupBy("source_case_id").count().collect()}
+    assert got == {k: min(n, 100) for k, n in edges.items()} and max(got.values()) > 20
+
+
 def test_hybrid_of_every_query_equals_plain_code(spark, folder):
     f = Fixtures(spark, folder)
     asked = {r.query_id: r.query for r in corpus_queries.asked_all(f).collect()}
