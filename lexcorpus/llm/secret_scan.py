@@ -1,11 +1,12 @@
 """Secret scan: base patterns, and sliding-window entropy over candidate strings.
 
 Base spans are assignments to password-like names, access keys and long hexadecimal runs. On top
-of them every candidate string (a run of `MIN_RUN` or more letters, digits and joining signs that
-holds a digit) is searched per character class: within each of its runs of the class, a window of
+of them every candidate string (a run of `MIN_RUN` or more letters, digits and joining signs) is searched per character class: within each of its runs of the class, a window of
 the class's width slides over the characters, its Shannon entropy kept up to date by the counts
 of the character that enters and the one that leaves. Windows at or above the class's threshold
-that mix letters with digits merge into spans of kind `entropy_<class>`. Spans that an allow-list
+that mix letters with two digits or more merge into spans of kind `entropy_<class>`; so do windows
+with fewer digits at `MIXED_BITS` with `MIXED_CASE` letters of either case, unless their run reads
+as joined words (`WORDS`). Spans that an allow-list
 pattern covers, or that lie within a base span or an earlier class's span, are left out; base
 spans always stay.
 
@@ -31,6 +32,9 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 #: Character classes, the window over each, and the entropy in bits that marks a secret.
 CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0), ("base64", re.compile(r"[0-9A-Za-z+/=]+"), 20, 3.6), ("url", re.compile(r"[0-9A-Za-z_-]+"), 20, 3.6))
+#: What marks a window without two digits (not of the class hex), and runs that are words.
+MIXED_BITS, MIXED_CASE = 3.7, 5
+WORDS = re.compile(r"[A-Z]*+(?:[a-z]{2,}+[A-Z]*+)++|(?:[A-Z]*+[a-z]*+[_/=+-]++)++[A-Z]*+[a-z]*+")  # possessive: linear
 KINDS = ("assign", "access", "hex", *(f"entropy_{name}" for name, *_ in CLASSES))
 #: Strings that look random but are no secrets.
 ALLOWED = (
@@ -60,30 +64,38 @@ def _base(text: str, runs: list[tuple[int, str]]) -> list[Span]:
     return spans
 
 
-def _windows(s: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
+def _windows(s: str, width: int, bits: float, mixed: float = math.inf) -> Iterator[tuple[int, int]]:
     """Merged windows of `s` whose entropy reaches `bits` and that hold both letters and digits.
 
+    With fewer than two digits a window counts from `mixed` bits on, if both cases are frequent.
+
     With counts c of the characters in a window of w, the entropy is log2 w minus the mean of
     c log2 c, so one character in and one out change four terms.
     """
     if len(s) < width:
         return
-    term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, digits, whole, start, end = 0.0, 0, math.log2(width), -1, -1
+    upper = lower = 0
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
         total += term[c + 1] - term[c]
         counts[ch] = c + 1
         digits += ch.isdigit()
+        upper += ch.isupper()
+        lower += ch.islower()
         if i >= width:
             old = s[i - width]
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
             digits -= old.isdigit()
+            upper -= old.isupper()
+            lower -= old.islower()
         at = i - width + 1
-        if at >= 0 and 2 <= digits < width and whole - total / width >= bits - 1e-9:
+        least = bits if 2 <= digits < width else mixed if digits < 2 and min(upper, lower) >= MIXED_CASE else math.inf
+        if at >= 0 and whole - total / width >= least - 1e-9:
             if start < 0:
                 start = at
             elif at > end:
@@ -101,13 +113,14 @@ def scan_text(text: str | None, allowed: re.Pattern, classes: tuple = CLASSES) -
     runs = [(m.start(), m[0]) for m in _RUN.finditer(text)]
     spans = _base(text, runs)
     for at, run in runs:
-        if not any(c.isdigit() for c in run) or allowed.fullmatch(run):
+        if not any(c.isdigit() for c in run) and min(sum(map(str.isupper, run)), sum(map(str.islower, run))) < MIXED_CASE or allowed.fullmatch(run):
             continue
         for name, chars, width, bits in classes:
             for m in chars.finditer(run):
                 if allowed.fullmatch(m[0]):
                     continue
-                for lo, hi in _windows(m[0], width, bits):
+                mixed = math.inf if name == "hex" or WORDS.fullmatch(m[0]) else MIXED_BITS
+                for lo, hi in _windows(m[0], width, bits, mixed):
                     lo, hi = at + m.start() + lo, at + m.start() + hi
                     if not any(a <= lo and hi <= b for _, a, b in spans):
                         spans.append((f"entropy_{name}", lo, hi))

@@ -206,6 +206,17 @@ def test_entropy_windows_equal_recounting():
         assert {k for a, b in secret_scan._windows(s, 20, 3.4) for k in range(a, b)} == inside
 
 
+def test_planted_tokens_with_few_digits():
+    allowed = re.compile("|".join(f"(?:{p})" for p in secret_scan.ALLOWED))
+    rnd = random.Random(11)
+    found = lambda letters, n: sum(bool(secret_scan.scan_text("see " + "".join(rnd.choice(letters) for _ in range(n)) + " there", allowed)) for _ in range(1000))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    assert found(small + small.upper() + "0123456789", 20) >= 950 and found(small + small.upper(), 20) >= 850 and found(small + small.upper(), 40) >= 950
+    assert secret_scan.scan_text("-" * 60 + "1 " + "a" * 5 + "B" * 60, allowed) == []  # more than a window of one sign
+    for words in ("getCustomerAddressFromDatabaseByName", "internationalization-of-everything", "src/main/java/MyClass/OtherClassName", "theQuickBrownFoxJumpsOverTheLazyDog"):
+        assert secret_scan.scan_text(f"see {words} there", allowed) == []
+
+
 def test_allow_list_and_redaction(spark):
     texts = ["key: 9aF3kQ2LmZx81PqRtUv7Bw5 end", "id 123e4567-e89b-12d3-a456-426614174000", "at 2024-01-01T00:00:00.000Z now", "password=hunter22 ok", "nothing", None]
     got = [r.text for r in secret_scan.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
