@@ -1,24 +1,31 @@
 """SentencePiece encoding and decoding as relational work over a lattice of pieces.
 
-A text is escaped (a word mark in front and for every space) and cut where no piece can cross:
-before a word mark that follows another character, and around line ends. Per distinct word, all
-substrings up to the longest piece are exploded and equi-joined to the piece table, edges are
-grouped by word and end, and a higher-order aggregate folds them into the best path: the largest
-sum of piece scores, ties to the earlier start. A letter that is no piece is an edge with the
-unknown score and is written as the byte pieces of its UTF-8. This is the unigram reading of the
-table's scores: a merge-ordered vocabulary's scores are its ranks, and the same path comes out as
-from the sentencepiece library on the same pieces in unigram mode, not as from its merges.
-
-Words are laid out by hash once, and every later step groups by word, so the lattice itself is
-never shuffled. Words over `LONG` letters take the same recurrence in a per-word fold whose state
-is one score and one step per letter. Null and empty texts have no pieces. Repeated texts get equal
-ids; other columns pass through, but one with the output's name is replaced.
+A text is escaped (a word mark in front and for every space), cut into words before marks and
+around line ends, and words again into units, wherever no piece of the vocabulary holds the two
+letters that meet: no edge of the lattice crosses such a border, so the best path of a text is the
+best paths of its units in a row. Per unit, all substrings up to the longest piece are exploded and
+equi-joined to the piece table, edges are grouped by unit, and a higher-order aggregate folds them,
+edge by edge, into the best path: the largest sum of piece scores, ties to the earlier start. A
+letter that is no piece is a unit of its own and is written as the byte pieces of its UTF-8. This
+is the unigram reading of the table's scores: a merge-ordered vocabulary's scores are its ranks, and
+the same path comes out as from the sentencepiece library on the same pieces in unigram mode, not as
+from its merges. Units of every length take the same way: long ones are exploded block by block, and
+the fold keeps the scores of the last letters only.
+
+`encode` looks the words that are frequent in a bounded sample up in a broadcast table of their
+paths, which the lattice made before; that choice changes how fast it is, never what comes out. All
+other units of a text travel with it, in one shuffle by row, to where their edges are grouped.
+
+Null and empty texts have no pieces. Repeated texts get equal ids, rows keep their number; other
+columns pass through, but one with the output's name is replaced. Letters that are no Unicode text
+(lone surrogates cannot occur in a Spark string) are not expected.
 """
 
 from __future__ import annotations
 
 import math
-import struct
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +36,19 @@ from pyspark.sql import functions as F
 from lexcorpus.llm.common import checkpointed
 
 MARK = "▁"
-#: Letters up to which a word's substrings are exploded, and distinct words in one partition.
-LONG, WORDS_A_PARTITION = 64, 20_000
-#: Words whose paths are broadcast when whole texts are encoded; the rest is joined by a shuffle.
-FREQUENT = 50_000
+#: Letters of a unit that are exploded and folded in one block.
+BLOCK = 64
+#: Letters of text in one partition, so that the edges of its units fit in memory.
+CHARS_A_PARTITION = 1_000_000
+#: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
+SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 50_000, 400_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
+_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+#: The id of an edge over an unknown letter.
+UNKNOWN = -1
+
 
 class Pieces:
     """The piece table of a model file: normal pieces with ids and scores, and the byte pieces."""
@@ -51,160 +64,195 @@ class Pieces:
             raise ValueError("the vocabulary has no byte pieces in a row")
         if any(MARK in p.lstrip(MARK) or "\n" in p for p, *_ in self.normal):
             raise ValueError("a piece crosses the border of a word")
-        self.first_byte, self.longest = bytes_[0], max(len(p) for p, *_ in self.normal)
+        self.size, self.first_byte, self.longest = len(every), bytes_[0], max(len(p) for p, *_ in self.normal)
         self.unknown = min(s for *_, s in self.normal) - UNKNOWN_PENALTY
+        self.pairs = {p[i : i + 2] for p, *_ in self.normal for i in range(len(p) - 1)}
+        if self.longest > BLOCK:
+            raise ValueError("a piece is longer than a block")
+        if not {c for p, *_ in self.normal for c in p} <= {p for p, *_ in self.normal}:
+            raise ValueError("a letter of a piece is no piece")  # it would stand alone only as an unknown one
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score; its size is that of the vocabulary."""
+        """piece, id, piece_score; its size is that of the vocabulary."""
         return spark.createDataFrame(self.normal, "piece string, id int, piece_score double")
 
-    def hexes(self) -> list[str]:
+    def hexes(self) -> Column:
         """Per id the UTF-8 it stands for, as hexadecimal digits; nothing for control ids."""
         known = {i: p.replace(MARK, " ").encode().hex() for p, i, _ in self.normal} | {self.first_byte + b: f"{b:02x}" for b in range(256)}
-        return [known.get(i, "") for i in range(max(known) + 1)]
+        return F.split(F.lit(",".join(known.get(i, "") for i in range(self.size))), ",")
+
+    def units(self, word: str) -> list[str]:
+        """`word` cut wherever no piece can cross."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; joined together they are the escaped text."""
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text as an array; joined together they are the escaped text.
+def _fold(steps: Column, longest: int) -> Column:
+    """The best path of a unit, as one array for each `BLOCK` of its `steps` (per end, its edges).
 
-    Where spaces stand alone a plain split does; runs of spaces stay together in front of a word.
+    An element tells, for one position, the best score up to it and the length and id of the last
+    piece; a block's array starts with those of the positions that its own pieces may start from.
     """
-    escaped = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    runs = F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" ")) | F.contains(text, F.lit(MARK)) | F.contains(text, F.lit("\x01"))
-    alone = F.split(F.replace(F.replace(escaped, F.lit(MARK), F.lit("\x01" + MARK)), F.lit("\n"), F.lit("\x01\n\x01")), "\x01")
-    split = F.when(runs, F.split(escaped, rf"(?<=[^{MARK}])(?={MARK})|(?<=\n)|(?=\n)")).otherwise(alone)
-    return F.when(F.length(text) > 0, F.filter(split, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    start = F.array(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("length"), F.lit(0).alias("id"))))
 
+    def settled(path: Column, step: Column) -> Column:
+        """`path` and one position more, with the best of the edges that end there."""
+        before = lambda e: F.get(path, F.size(path) - e["length"])["score"]
+        return F.array_append(path, F.array_max(F.transform(step["edges"], lambda e: F.struct((before(e) + e["score"]).alias("score"), e["length"].alias("length"), e["id"].alias("id")))))
 
-def _byte_ids(letters: Column, first_byte: int) -> Column:
-    digits = F.hex(F.encode(letters, "utf-8"))
-    return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: (F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + first_byte))
+    def block(paths: Column, b: Column) -> Column:
+        last = F.element_at(paths, -1)
+        tail = F.when(F.size(last) > longest, F.slice(last, F.lit(-longest), longest)).otherwise(last)
+        return F.array_append(paths, F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), tail, settled))
 
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), start, block)
 
-def _fold(pieces: Pieces) -> tuple[Column, Column]:
-    """(score, ids) of the best path over a word's `steps`: for each end, its incoming edges."""
-    start = F.struct(F.array(F.lit(0.0)).alias("score"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("id"))).alias("back"))
 
-    def step(state: Column, s: Column) -> Column:
-        best = F.array_max(F.transform(s["edges"], lambda e: F.struct((state["score"][e["start"]] + e["score"]).alias("score"), (-e["start"]).alias("early"), e["id"].alias("id"))))
-        return F.struct(F.array_append(state["score"], best["score"]).alias("score"), F.array_append(state["back"], F.struct((-best["early"]).alias("start"), best["id"].alias("id"))).alias("back"))
+def _ids(steps: Column) -> Column:
+    """The ids along a path, from its last position (`steps` holds one element for each) back to the first."""
+    start = F.struct(F.size(steps).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("filled"))
 
     def back(state: Column, j: Column) -> Column:
-        own = F.when(F.col("path.back")[j]["id"] >= 0, F.array(F.col("path.back")[j]["id"])).otherwise(_byte_ids(F.substring("word", j, F.lit(1)), pieces.first_byte))
-        here = state["at"] == j
-        return F.struct(F.when(here, F.col("path.back")[j]["start"]).otherwise(state["at"]).alias("at"), F.when(here, F.concat(own, state["ids"])).otherwise(state["ids"]).alias("ids"))
+        step = F.get(steps, j - 1)
+        at = (j - step["length"]).alias("at")
+        full = F.struct(at, F.array(step["id"]).alias("ids"), F.array_append(state["filled"], state["ids"]).alias("filled"))
+        room = F.struct(at, F.array_append(state["ids"], step["id"]).alias("ids"), state["filled"].alias("filled"))
+        return F.when(state["at"] != j, state).when(F.size(state["ids"]) < BLOCK, room).otherwise(full)
 
-    n = F.length("word")
-    ids = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")), back)["ids"]
-    return F.aggregate("steps", start, step), ids
+    return F.aggregate(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), start, back, lambda s: F.reverse(F.flatten(F.array_append(s["filled"], s["ids"]))))
 
 
-def _encode_long(words: DataFrame, pieces: Pieces) -> DataFrame:
-    known, longest, unknown, first_byte = {p: (i, s) for p, i, s in pieces.normal}, pieces.longest, pieces.unknown, pieces.first_byte
+def _byte_ids(letter: Column, first_byte: int) -> Column:
+    digits = F.hex(F.encode(letter, "utf-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + first_byte)
 
-    @F.pandas_udf("score double, ids array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in batches:
-            out = []
-            for word in column:
-                score, steps = [0.0], [(0, 0)]
-                for j in range(1, len(word) + 1):
-                    edges = [(score[i] + known[word[i:j]][1], -i, known[word[i:j]][0]) for i in range(max(0, j - longest), j) if word[i:j] in known]
-                    if word[j - 1] not in known:
-                        edges.append((score[j - 1] + unknown, 1 - j, -1))
-                    best = max(edges)
-                    score.append(best[0])
-                    steps.append((-best[1], best[2]))
-                ids, at = [], len(word)
-                while at:
-                    begin, id_ = steps[at]
-                    ids.append([id_] if id_ >= 0 else [first_byte + b for b in word[begin:at].encode()])
-                    at = begin
-                out.append((score[-1], [i for part in reversed(ids) for i in part]))
-            yield pd.DataFrame(out, columns=["score", "ids"])
-
-    made = words.withColumn("path", encoded("word"))
-    return made.select("word", "n", F.col("path.score").alias("score"), F.col("path.ids").alias("ids"))
-
-
-def encode_words(words: DataFrame, model_path: str, decoded_col: str | None = None) -> DataFrame:
-    """Best paths of distinct words: `words` (word, n) -> word, n, score, ids.
-
-    With `decoded_col` the ids are decoded again, where they lie.
-    """
-    spark, pieces = words.sparkSession, Pieces(model_path)
-    words = checkpointed(words.select("word", "n"))
-    short = words.where(F.length("word") <= LONG).repartition(max(1, math.ceil(words.count() / WORDS_A_PARTITION)), "word")
-    starts = short.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, F.length("word")))).alias("end"))
-    cut = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    joined = cut.join(F.broadcast(pieces.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    edge = F.struct("start", F.coalesce("piece_score", F.lit(pieces.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    ends = joined.groupBy("word", "end").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))  # at most one edge per length
-    grouped = ends.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("steps"))  # at most LONG
-    path, ids = _fold(pieces)
-    best = grouped.withColumn("path", path).select("word", "n", F.element_at("path.score", -1).alias("score"), ids.alias("ids"))
-    long = _encode_long(words.where(F.length("word") > LONG), pieces)
-    if decoded_col:
-        best, long = (decode(x, model_path, "word", out_col=decoded_col) for x in (best, long))
-    return best.union(long)
-
-
-def decoded_text(ids: Column, pieces: Pieces) -> Column:
-    """The text of an array of ids, looked up in a literal table of the vocabulary's size."""
-    table = F.split(F.lit(",".join(pieces.hexes())), ",")
-    digits = F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.get(table, i))), "")
-    return F.make_valid_utf8(F.unhex(digits).cast("string"))
-
-
-def decode(df: DataFrame, model_path: str, key: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """`df` with `out_col`: the text of each row's ids, word marks as spaces; keys must be distinct.
-
-    Control ids stand for nothing, and bytes that are no UTF-8 become replacement characters. The
-    mark that encoding puts in front of a text is kept. Rows whose ids are empty or null are left out.
-    """
-    rows = df.where(F.size(ids_col) > 0)
-    return rows.select(*[c for c in df.columns if c != out_col], decoded_text(F.col(ids_col), Pieces(model_path)).alias(out_col))
 
+def best_paths(units: DataFrame, pieces: Pieces, keys: list[str], carried: str | None = None) -> DataFrame:
+    """Best path of each row's `unit`: keys, score, ids (and the `carried` column, for one row of each key).
 
-def distinct_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word and n, its occurrences in all texts."""
-    return df.select(F.explode(words_of(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    Keys must be distinct; units must be cut as `Pieces.units` does, in which a letter that is no
+    piece stands alone. A null unit has no ids and no score. Where `units` is already distributed
+    by some of the keys, nothing is shuffled.
+    """
+    extra = [carried] if carried else []
+    n = F.length("unit")
+    blocks = units.select(*keys, *extra, "unit", n.alias("n"), F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))).alias("block"))
+    part = F.when(n <= BLOCK, F.col("unit")).otherwise(F.substring("unit", F.col("block") * BLOCK - pieces.longest + 1 + F.when(F.col("block") == 0, F.lit(pieces.longest)).otherwise(F.lit(1)), F.lit(BLOCK + pieces.longest - 1)))
+    # A block's part starts `longest - 1` letters before the block itself, so that it holds all edges that end in it.
+    ahead = F.when(F.col("block") > 0, F.lit(pieces.longest - 1)).otherwise(F.lit(0))
+    parts = blocks.select(*keys, *extra, "block", part.alias("part"), ahead.alias("ahead"), F.when(n == 1, F.col("unit")).alias("lone"), F.least(F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK)).alias("here"))
+    starts = parts.select(*keys, *extra, "block", "part", "ahead", "here", "lone", F.explode_outer(F.sequence(F.lit(0), F.col("ahead") + F.col("here") - 1)).alias("start"))
+    bounded = F.sequence(F.greatest(F.lit(1), F.col("ahead") - F.col("start") + 1), F.least(F.lit(pieces.longest), F.col("ahead") + F.col("here") - F.col("start")))
+    spans = starts.select(*keys, *extra, "block", "part", "ahead", "lone", "start", F.explode_outer(F.when(F.col("start").isNotNull(), bounded)).alias("length"))
+    cut = spans.select(*keys, *extra, "block", "lone", "length", (F.col("block") * BLOCK + F.col("start") + F.col("length") - F.col("ahead")).alias("end"), F.substring("part", F.col("start") + 1, F.col("length")).alias("piece"))
+    met = cut.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | F.col("lone").isNotNull() | F.col("end").isNull())
+    edge = F.when(F.col("end").isNotNull(), F.struct("length", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("piece_score", F.lit(pieces.unknown)).alias("score")))
+    first = [F.get(F.collect_list(c), F.lit(0)).alias(c) for c in extra]
+    by_end = met.groupBy(*keys, "end").agg(*first, F.max("lone").alias("lone"), F.collect_list(edge).alias("edges"))
+    by_unit = by_end.groupBy(*keys).agg(*first, F.max("lone").alias("lone"), F.sort_array(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("end", "edges")))).alias("edges"))
+    some = F.size("edges") > 0
+    folded = by_unit.withColumn("paths", F.when(some, _fold(F.col("edges"), pieces.longest)))
+    # Each array but the first two repeats the end of the one before it; the first holds the start alone.
+    new = lambda p, k: F.when(k == 0, F.slice(p, F.lit(1), F.lit(0))).when(k == 1, F.slice(p, F.lit(2), F.size(p))).otherwise(F.slice(p, F.lit(pieces.longest + 1), F.size(p)))
+    stepped = folded.withColumn("steps", F.flatten(F.transform("paths", new)))
+    unknown = F.col("lone").isNotNull() & (F.get("steps", F.lit(0))["id"] == UNKNOWN)
+    ids = F.when(unknown, _byte_ids(F.col("lone"), pieces.first_byte)).when(some, _ids(F.col("steps")))
+    return stepped.select(*keys, *extra, F.element_at("steps", -1)["score"].alias("score"), ids.alias("ids"))
+
+
+def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Paths of the words and units that are most frequent in a bounded sample of `total` texts."""
+    sample = df.select(F.col(text_col).alias("text")).sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=1)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                counts.update(words_of(text or ""))
+            if len(counts) > FREQUENT:
+                yield pd.DataFrame(counts.items(), columns=["word", "n"])
+                counts.clear()
+        yield pd.DataFrame(counts.items(), columns=["word", "n"])
+
+    @F.pandas_udf("array<string>")
+    def cut(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: pieces.units(w) if len(w) <= FREQUENT_LENGTH else [])
+
+    words = sample.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    named = words.select("n", F.col("word"), F.explode(F.array_union(F.array("word"), cut("word"))).alias("part"))
+    best = named.where(F.length("part") <= FREQUENT_LENGTH).groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(FREQUENT)
+    chosen = checkpointed(best.select("part", F.explode(cut("part")).alias("unit")))
+    paths = best_paths(chosen.select("unit").distinct().withColumn("key", F.col("unit")), pieces, ["key"])
+    known = {r.key: np.array(r.ids, dtype="<i4") for r in paths.select("key", "ids").collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
+    return {w: np.concatenate([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds `out_col`: the ids of each whole text (empty for null and empty texts).
-
-    Unlike `encode_words` this brings the paths back to every occurrence. Those of the `FREQUENT`
-    commonest words are broadcast; every other occurrence is shuffled to its word and back to its text.
-    """
-    spark = df.sparkSession
-    rows = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
-    paths = checkpointed(encode_words(distinct_words(rows, text_col), model_path).select("word", "n", "ids"))
-    frequent = paths.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    names = spark.createDataFrame([(r.word,) for r in frequent], "word string")
-    table = spark.sparkContext.broadcast({r.word: struct.pack(f"<{len(r.ids)}i", *r.ids) for r in frequent})
-
-    spread = rows.select("__row", F.posexplode(words_of(F.col(text_col))).alias("pos", "word"))
-    rare = spread.join(F.broadcast(names), "word", "left_anti").join(paths.select("word", "ids").hint("shuffle_merge"), "word")
-    parts = rare.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    parts = parts.select("__row", F.col("parts.pos").alias("__pos"), F.transform("parts.ids", F.size).alias("__sizes"), F.flatten("parts.ids").alias("__ids"))
+    """Adds `out_col`: the ids of each whole text (empty for null and empty texts)."""
+    pieces = Pieces(model_path)
+    kind = "<u2" if pieces.size < 1 << 16 else "<u4"
+    hole = np.array([pieces.size], dtype=kind).tobytes()  # stands for a unit that the lattice is still to encode
+    size = df.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
+    table = df.sparkSession.sparkContext.broadcast({w: ids.astype(kind).tobytes() for w, ids in frequent_words(df, pieces, size.texts, text_col).items()})
+
+    @F.pandas_udf("frame binary, units array<string>")
+    def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = table.value.get
+        for texts in batches:
+            frames, rest = [], []
+            for text in texts:
+                words, units = words_of(text or ""), []
+                found = list(map(known, words))
+                if None in found:
+                    for k, ids in enumerate(found):
+                        if ids is None:
+                            own = [(known(u), u) for u in pieces.units(words[k])]
+                            units += [u for ids, u in own if ids is None]
+                            found[k] = b"".join([hole if ids is None else ids for ids, _ in own])
+                frames.append(b"".join(found))
+                rest.append(units)
+            yield pd.DataFrame({"frame": frames, "units": rest})
+
+    others = [c for c in df.columns if c != out_col]
+    named = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns"), looked_up(F.col(text_col)).alias("split"))
+    # One row for the text itself, which carries its columns, and one for each of its units.
+    lying = named.select("row", F.struct("columns", "split.frame").alias("text"), F.col("split.units").alias("units")).repartition(max(1, math.ceil(size.chars / CHARS_A_PARTITION)), "row")
+    itself = F.array(F.struct(F.lit(-1).alias("place"), F.lit(None).cast("string").alias("unit"), F.col("text").alias("text")))
+    nothing = F.lit(None).cast(lying.schema["text"].dataType)
+    spread = lying.select("row", F.explode(F.concat(itself, F.transform("units", lambda u, k: F.struct(k.alias("place"), u.alias("unit"), nothing.alias("text"))))).alias("item"))
+    paths = best_paths(spread.select("row", "item.*"), pieces, ["row", "place"], "text")
+    whole = paths.groupBy("row").agg(F.get(F.collect_list("text"), F.lit(0)).alias("text"), F.sort_array(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "ids")))).alias("paths"))
 
     @F.pandas_udf("array<int>")
-    def assembled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        known = table.value
+    def filled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
-            for text, pos, sizes, ids in zip(*batch):
-                found = list(map(known.get, text.split(" "))) if text else []
-                if pos is not None:
-                    flat, at = np.asarray(ids, "<i4").tobytes(), 0
-                    for p, n in zip(pos, sizes):
-                        found[p] = flat[at : at + 4 * n]
-                        at += 4 * n
-                out.append(np.frombuffer(b"".join(found), "<i4"))
+            for frame, sizes, ids in zip(*batch, strict=True):
+                known = np.frombuffer(frame, kind).astype(np.int32)
+                if len(sizes):
+                    holes = known == pieces.size
+                    each = np.ones(len(known), dtype=np.int64)
+                    each[holes] = sizes
+                    known = np.repeat(known, each)
+                    known[np.repeat(holes, each)] = ids
+                out.append(known)
             yield pd.Series(out, dtype=object)
 
-    # A word holds no space, so that joined words come apart again.
-    made = rows.drop(out_col).join(parts, "__row", "left")
-    return made.withColumn(out_col, assembled(F.array_join(words_of(F.col(text_col)), " "), "__pos", "__sizes", "__ids")).drop("__row", "__pos", "__sizes", "__ids")
+    ids = filled("text.frame", F.transform("paths.ids", F.size), F.flatten("paths.ids"))
+    return whole.select(*[F.col(f"text.columns.c{k}").alias(c) for k, c in enumerate(others)], ids.alias(out_col))
+
+
+def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds `out_col`: the text of each row's ids, word marks as spaces; the mark in front is kept.
+
+    Control ids and ids outside the vocabulary stand for nothing, bytes that are no UTF-8 become
+    replacement characters. Empty or null ids give an empty text.
+    """
+    table = Pieces(model_path).hexes()
+    digits = F.array_join(F.transform(F.col(ids_col), lambda i: F.when(i >= 0, F.get(table, i))), "")
+    return df.withColumn(out_col, F.coalesce(F.make_valid_utf8(F.unhex(digits).cast("string")), F.lit("")))

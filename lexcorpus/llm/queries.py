@@ -90,10 +90,11 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; the mark put in front of a text is taken off."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    made = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    text = F.substring(piece_lattice.decoded_text(F.col("ids"), piece_lattice.Pieces(model)), 2, 2**31 - 1)
+    made = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    back = piece_lattice.decode(made, model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+    text = F.substring("decoded", 2, 2**31 - 1)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -429,16 +429,24 @@ def plain_path(pieces, word):
     return best[-1]
 
 
-def test_paths_equal_plain_viterbi(spark, docs):
-    words = piece_lattice.distinct_words(docs.limit(60).union(docs.sparkSession.createDataFrame([(0, "日本語 ünï " + "q7" * 60 + "  \n x", "en", "s", 1)], docs.schema)))
+def test_paths_equal_plain_viterbi(spark):
     pieces = piece_lattice.Pieces(PIECES)
-    paths = piece_lattice.encode_words(words, PIECES, "decoded").cache()
-    got = paths.collect()
-    assert len(got) == words.count() and any(len(r.word) > piece_lattice.LONG for r in got)
+    rnd = random.Random(3)
+    parts = ["on", "is", "ner", "ein", "ach", "tion", "ou", "ea", "the", "th", "sch", "▁", "▁▁", "a", "q", "zz", "é", "ü", ".", "..", ",", "1", "日", "\n"]
+    texts = ["".join(rnd.choices(parts, k=rnd.choice([1, 2, 5, 20, 100]))) for _ in range(200)]
+    units = sorted({u for t in texts for u in pieces.units(t)} | {"a" * 10_000, "on" * 1000, "a" * 64, "a" * 65, "a" * 129})
+    got = piece_lattice.best_paths(spark.createDataFrame([(u, k) for k, u in enumerate(units)] + [(None, -1)], "unit string, k int"), pieces, ["k"]).collect()
+    assert len(got) == len(units) + 1
     for r in got:
-        score, ids = plain_path(pieces, r.word)
+        if r.k < 0:
+            assert r.ids is None
+            continue
+        score, ids = plain_path(pieces, units[r.k])
         assert r.score == score and r.ids == ids
-    assert all(r.decoded == r.word.replace("▁", " ") for r in got)
+
+
+def escaped_words(text):
+    return [w for w in re.split(r"(?<=[^▁])(?=▁)|(?<=\n)|(?=\n)", piece_lattice.MARK + text.replace(" ", piece_lattice.MARK)) if w] if text else []
 
 
 def test_lattice_query_covers_whole_documents(spark, folder, docs, monkeypatch):
@@ -451,18 +459,21 @@ def test_lattice_query_covers_whole_documents(spark, folder, docs, monkeypatch):
         assert got[k].decoded_sha256 == sha(t.replace(piece_lattice.MARK, " "))
     pieces = piece_lattice.Pieces(PIECES)
     for k in sorted(texts, key=lambda k: (len(texts[k]), k))[:40]:
-        words = [w for w in re.split(r"(?<=[^▁])(?=▁)|(?<=\n)|(?=\n)", piece_lattice.MARK + texts[k].replace(" ", piece_lattice.MARK)) if w] if texts[k] else []
-        ids = [i for w in words for i in plain_path(pieces, w)[1]]
+        ids = [i for w in escaped_words(texts[k]) for i in plain_path(pieces, w)[1]]
         assert (got[k].n_pieces, got[k].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
 
 
 def test_texts_round_trip(spark, odd):
-    short = odd.where(F.length("text") < 1000)
-    got = piece_lattice.encode(short, PIECES).withColumn("k", F.monotonically_increasing_id()).cache()
-    assert got.count() == short.count() and set(short.columns) <= set(got.columns)
-    back = {r.k: r.decoded for r in piece_lattice.decode(got, PIECES, "k").collect()}
-    for r in got.collect():
-        assert back.get(r.k, "") == (" " + r.text.replace("▁", " ") if r.text else "")
+    rows = odd.where(F.length("text").isNull() | (F.length("text") < 1000)).withColumn("hex", F.lit("ff")).withColumn("row", F.lit(3))
+    got = piece_lattice.decode(piece_lattice.encode(rows, PIECES), PIECES)
+    assert got.columns == [*[c for c in rows.columns if c != "ids"], "ids", "decoded"]
+    back = got.collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in rows.collect())
+    for r in back:
+        assert r.decoded == (" " + r.text.replace("▁", " ") if r.text else "") and len(r.ids) == (0 if not r.text else len(r.ids) or -1)
+    odd_ids = spark.createDataFrame([(1, [295, 10**6, -5, 0]), (2, None), (3, [])], "hex int, ids array<int>")
+    pieces = {i: p for p, i, _ in piece_lattice.Pieces(PIECES).normal}
+    assert {r.hex: r.decoded for r in piece_lattice.decode(odd_ids, PIECES).collect()} == {1: pieces[295].replace("▁", " "), 2: "", 3: ""}
 
 
 # The pipeline
