@@ -38,8 +38,8 @@ from lexcorpus.llm.common import checkpointed
 MARK = "▁"
 #: Letters of a unit that are exploded and folded in one block.
 BLOCK = 64
-#: Letters of text in one partition, so that the edges of its units fit in memory.
-CHARS_A_PARTITION = 1_000_000
+#: Letters of text, or units alone, in one partition, so that their edges fit in memory.
+CHARS_A_PARTITION, UNITS_A_PARTITION = 1_000_000, 5_000
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
 SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 50_000, 400_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
@@ -187,7 +187,9 @@ def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "t
     named = words.select("n", F.col("word"), F.explode(F.array_union(F.array("word"), cut("word"))).alias("part"))
     best = named.where(F.length("part") <= FREQUENT_LENGTH).groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(FREQUENT)
     chosen = checkpointed(best.select("part", F.explode(cut("part")).alias("unit")))
-    paths = best_paths(chosen.select("unit").distinct().withColumn("key", F.col("unit")), pieces, ["key"])
+    units = checkpointed(chosen.select("unit").distinct())
+    spread = units.withColumn("key", F.col("unit")).repartition(max(1, math.ceil(units.count() / UNITS_A_PARTITION)), "key")
+    paths = best_paths(spread, pieces, ["key"])
     known = {r.key: np.array(r.ids, dtype="<i4") for r in paths.select("key", "ids").collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
     return {w: np.concatenate([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
 
