@@ -8,7 +8,8 @@ mean demands of the waiting items. When no whole item fits, an item is cut to th
 its rest waits for the next bin, so bins close full unless the segment limit closes them.
 
 Documents are packed where they are read: no token is shuffled, and each task holds one window of
-items. What is left in a task's last bin is cut at powers of two, as such lengths need no padding.
+items. Every bin that stays short, the last one of a task or one that the segment or loss limit
+closes, is cut at powers of two, as such lengths need no padding.
 
 A null text is an empty one and still yields its end token. Null or repeated ids are kept as they
 are: rows are items, not ids. Texts of any length are tokenized whole. An empty table gives no rows.
@@ -37,7 +38,8 @@ class _Encoder:
 
     `ranks_path`, where given, holds the same byte-level vocabulary as merge ranks. The tiktoken
     library then encodes the Latin-1 texts, where both give the same ids (a test compares them),
-    at a quarter of the CPU time; all other texts go through tokenizers.
+    at a quarter of the CPU time; all other texts go through tokenizers, and so do those whose
+    white space runs are too long for the other library's patterns.
     """
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -54,7 +56,7 @@ class _Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.ranks:
-            with contextlib.suppress(UnicodeEncodeError):
+            with contextlib.suppress(ValueError):  # no Latin-1, or a run of white space that the library refuses
                 text.encode("latin-1")
                 return np.array(self.ranks.encode(text, allowed_special="all"), dtype="<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -172,7 +174,7 @@ def pack_texts(
         def rows_of(bins: list[list[_Item]], type_: pa.DataType) -> pa.RecordBatch:
             nonlocal sequences
             out: list[list] = [[] for _ in range(8)]
-            for bin_ in bins:
+            for bin_ in [part for whole in bins for part in _at_powers(whole, max_tokens)]:
                 at = 0
                 for x in bin_:
                     id_, ids = docs[x.row]
@@ -207,7 +209,7 @@ def pack_texts(
                 docs = {k: v for k, v in docs.items() if k in open_}
         if items:
             bins, _ = _fill(items, limits, last=True)
-            yield rows_of([part for bin_ in bins for part in _at_powers(bin_, max_tokens)], type_)
+            yield rows_of(bins, type_)
 
     kind = f"`{id_col}` {id_type.simpleString()}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(packed, kind)
