@@ -23,16 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared checkpoint folder and cuts its lineage there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is taken.
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset and
+    Spark runs on one machine (tests) a temporary folder is taken.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns of `df` that can be hashed: all but those that hold a map or a variant."""
+    return [f"`{f.name}`" for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """About `rows` rows of `df` (all, if it has fewer), the same ones on every run.
 

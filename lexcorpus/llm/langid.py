@@ -5,9 +5,9 @@ a word is the sum, over all its segmentations into pieces, of the product of the
 a forward pass adds them up without listing them. A text is scored by the product over its words
 and the share of its language among the training rows.
 
-Words are runs of letters in lower case behind a word mark; runs are cut every `WORD` letters, so
-work per word is bounded. Any single letter is always an edge, with a small probability where it
-is no piece. Piece probabilities are fitted by expectation maximisation: Spark counts words per
+Words are runs of letters (as Unicode has them) in lower case behind a word mark, of any length: the
+forward pass rescales its sums every few letters of a long word, so that none vanishes. Any single
+letter is always an edge, with a small probability where it is no piece. Piece probabilities are fitted by expectation maximisation: Spark counts words per
 language, and each round's expected counts are summed over partitions of those words.
 
 Texts that are null or hold no letter get `und` with score 0. Rows with a null language, null
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.llm import substrings
-from lexcorpus.llm.common import hash_sample
+from lexcorpus.llm.common import hash_sample, hashable
 
 UNKNOWN = "und"
-#: Letters of a word that are segmented together.
-WORD = 24
+#: Letters up to which a word's sums need no rescaling, and how often those of longer words are rescaled.
+SHORT, RESCALED = 24, 8
 #: Distinct tokens that a worker remembers; characters of text that it scores at once.
 CACHE_ENTRIES, CHUNK = 400_000, 2_000_000
 
@@ -44,11 +44,13 @@ _MARK = "▁"
 
 
 def words(token: str) -> list[str]:
-    """The units of one token: marked runs of letters, cut every `WORD` letters."""
+    """The words of one token: marked runs of letters."""
     out = []
     for run in _LETTERS.findall(token):
-        out.append(_MARK + run[:WORD])
-        out += [run[i : i + WORD] for i in range(WORD, len(run), WORD)]
+        if run.isalpha():
+            out.append(_MARK + run)
+        else:  # signs such as a half or a superscript count as word characters there, but are no letters
+            out += [_MARK + part for part in "".join(c if c.isalpha() else " " for c in run).split()]
     return out
 
 
@@ -79,10 +81,21 @@ class Unigrams:
 
     def edges(self, prefix: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, rows, pieces) of the lattices of equally long units, by end."""
-        n = prefix.shape[1] - 1
+        n, every_start = prefix.shape[1] - 1, {}
+        if n > SHORT:  # all substrings of one length at once
+            for k in range(1, min(n, self.longest) + 1):
+                spans = prefix[:, k:] - prefix[:, :-k] * substrings._POWERS[k]
+                cells, found = self.lookup.find(spans.ravel())
+                every_start[k] = np.full(spans.shape, -1, dtype=np.int32)
+                every_start[k].ravel()[cells] = found
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
-                rows, found = self.lookup.find(substrings.span(prefix, i, j))
+                if every_start:
+                    found = every_start[j - i][:, i]
+                    rows = np.flatnonzero(found >= 0)
+                    found = found[rows].astype(np.int64)
+                else:
+                    rows, found = self.lookup.find(substrings.span(prefix, i, j))
                 if i == j - 1:
                     every = np.full(len(prefix), len(self.pieces))
                     every[rows] = found
@@ -90,15 +103,29 @@ class Unigrams:
                 if len(rows):
                     yield i, j, rows, found
 
+    def _rescale(self, sums: np.ndarray, offset: np.ndarray, at: int, behind: range) -> None:
+        """Divides the sums of the positions still in reach by the one `at`, and keeps its logarithm."""
+        by = sums[at].copy()
+        for i in behind:
+            sums[i] /= by
+            offset[i] += np.log(by)
+
     def log_probs(self, units: list[str]) -> np.ndarray:
         """Log probability of each unit under each language."""
         out = np.zeros((len(units), len(self.langs)))
         for at, prefix in substrings.by_length(units):
-            alpha = np.zeros((prefix.shape[1], len(at), len(self.langs)))
-            alpha[0] = 1
+            n = prefix.shape[1] - 1
+            alpha = np.zeros((n + 1, len(at), len(self.langs)))
+            offset = np.zeros_like(alpha) if n > SHORT else None
+            alpha[0], done = 1, 0
             for i, j, rows, found in self.edges(prefix):
+                if offset is not None and j > done + 1:  # position j - 1 is complete
+                    done = j - 1
+                    if done % RESCALED == 0:
+                        self._rescale(alpha, offset, done, range(max(0, done - self.longest), done + 1))
+                        offset[j:] = offset[done]
                 alpha[j, rows] += alpha[i, rows] * self.probs[found]
-            out[at] = np.log(alpha[-1])
+            out[at] = np.log(alpha[-1]) + (0 if offset is None else offset[-1])
         return out
 
     def expected(self, units: list[str], lang: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -109,24 +136,40 @@ class Unigrams:
             edges = [(i, j, rows, found * k + own[rows]) for i, j, rows, found in self.edges(prefix)]
             alpha, beta, p = np.zeros((n, len(at))), np.zeros((n, len(at))), self.probs.ravel()
             alpha[0] = beta[-1] = 1
+            before, behind = (np.zeros_like(alpha), np.zeros_like(alpha)) if n - 1 > SHORT else (None, None)
+            done = 0
             for i, j, rows, cell in edges:
+                if before is not None and j > done + 1:
+                    done = j - 1
+                    if done % RESCALED == 0:
+                        self._rescale(alpha, before, done, range(max(0, done - self.longest), done + 1))
+                        before[j:] = before[done]
                 alpha[j, rows] += alpha[i, rows] * p[cell]
+            done = n - 1
             for i, j, rows, cell in sorted(edges, key=lambda e: -e[0]):
+                if behind is not None and i < done - 1:
+                    done = i + 1
+                    if done % RESCALED == 0:
+                        self._rescale(beta, behind, done, range(done, min(n, done + self.longest + 1)))
+                        behind[: i + 1] = behind[done]
                 beta[i, rows] += beta[j, rows] * p[cell]
             weight = count[at] / alpha[-1]
             for i, j, rows, cell in edges:
-                out += np.bincount(cell, weight[rows] * alpha[i, rows] * beta[j, rows] * p[cell], minlength=out.size)
+                share = weight[rows] * alpha[i, rows] * beta[j, rows] * p[cell]
+                if before is not None:
+                    share *= np.exp(before[i, rows] + behind[j, rows] - before[-1, rows])
+                out += np.bincount(cell, share, minlength=out.size)
         return out.reshape(self.probs.shape)
 
 
 def fit(df: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", train_rows: int = 20_000, rounds: int = 3) -> Unigrams:
     """Fits on the rows of `df` with a text and a language, on about `train_rows` of them at most.
 
-    That bound keeps the word counts small. Rows are chosen by a hash of all their columns, so
-    that copies of one text under many ids are not chosen together.
+    That bound keeps the word counts small. Rows are chosen by a hash of all their columns (but maps,
+    which have none), so that copies of one text under many ids are not chosen together.
     """
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = hash_sample(known, known.columns, train_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = hash_sample(known, hashable(known), train_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
