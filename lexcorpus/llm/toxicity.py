@@ -3,10 +3,12 @@
 Features are the character n-grams (`N_GRAMS` long, binary per text) of lower-case tokens with a
 space at either end. Spark counts, over the labelled training rows, in how many toxic and other
 texts each n-gram occurs; its log-count ratio scales the feature, and n-grams whose counts do not
-differ significantly are left out. A logistic regression is then fitted on the scaled features.
+differ significantly are left out; all others are kept. A logistic regression is then fitted on the
+scaled features.
 
-It learns from rows with a text and a label (0 or 1) on `train_rows` of them at most, give or take
-their square root, chosen by a hash of the id; that bound also bounds what the driver fits.
+It learns from distinct rows (id and text) with a label (0 or 1), on `train_rows` of them at most,
+give or take their square root, chosen by a hash, labels first and then rows, so that many rows of
+one id do not exceed the bound either; that bound also bounds what the driver fits.
 Repeated labels of an id count once, as toxic if any says so. Null and empty texts have no feature
 and get the score of the intercept. With no labelled row every score is 0; with labels of one
 class only, the score is that class's share. Texts are read whole; other columns pass through, but
@@ -101,10 +103,11 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty:
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, max_features: int = 4096, min_texts: int = 3, penalty: float = 1.0, steps: int = 300) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, min_texts: int = 3, penalty: float = 1.0, steps: int = 300) -> Classifier:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = texts.join(F.broadcast(hash_sample(known, ["id"], train_rows)), "id").select("text", "y").persist()
+    labelled = texts.join(F.broadcast(hash_sample(known, ["id"], train_rows)), "id").dropDuplicates(["id", "text"]).persist()
+    train = hash_sample(labelled, ["text", "id"], train_rows).select("text", "y").persist()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = _Features(None)
@@ -127,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total, both = F.lit(float(pos + neg)), a + b
     chi2 = total * F.pow(a * F.lit(float(neg)) - b * F.lit(float(pos)), 2) / (F.lit(float(pos)) * F.lit(float(neg)) * both * (total - both + 0.5))
     grams = train.mapInPandas(counted, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(both >= min_texts)
-    best = grams.withColumn("chi2", chi2).where(F.col("chi2") >= SIGNIFICANT).orderBy(F.desc("chi2"), "gram").limit(max_features).toPandas()
+    best = grams.withColumn("chi2", chi2).where(F.col("chi2") >= SIGNIFICANT).toPandas().sort_values("gram", ignore_index=True)
     keys = best["gram"].to_numpy(dtype=np.int64).view(np.uint64)
     ratio = np.log((1 + best["pos"].to_numpy(dtype=float)) / (pos + 2)) - np.log((1 + best["neg"].to_numpy(dtype=float)) / (neg + 2))
 
@@ -137,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             sets = [f.tolist() for part in chunks(list(pdf["text"])) for f in features(part)]
             yield pd.DataFrame({"found": sets, "y": pdf["y"]})
 
-    rows = train.mapInPandas(found, "found array<int>, y int").toPandas()  # within train_rows and max_features
+    rows = train.mapInPandas(found, "found array<int>, y int").toPandas()  # at most train_rows, give or take
     train.unpersist()
+    labelled.unpersist()
     order = [np.asarray(f, dtype=np.int64) for f in rows["found"]]
     weight, intercept = _logistic(order, rows["y"].to_numpy(dtype=float), ratio, penalty, steps)
     return Classifier(keys, ratio, weight, intercept)
