@@ -48,7 +48,9 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A byte 255 is no UTF-8, so the padding is made as hexadecimal digits.
     stored = docs.withColumn("media", tiff.encoded(F.concat("utf8", F.unhex(F.repeat(F.lit("FF"), padding.cast("int"))))))
     read = stored.withColumn("pages", tiff.decoded(F.col("media")))
-    read = read.withColumn("payload", F.aggregate("pages", F.lit(b""), lambda out, p: F.concat(out, p["pixels"])))
+    # Pages are joined as hexadecimal digits: joining them one by one would copy a long text again and again.
+    joined = F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["pixels"])), ""))
+    read = read.withColumn("payload", F.when(F.size("pages") == 1, F.get("pages", F.lit(0))["pixels"]).otherwise(joined))
     levels = F.aggregate("pages", F.array_repeat(F.lit(0), 8), lambda out, p: F.zip_with(out, p["levels"], lambda a, b: a + b))
     feature = F.concat_ws(";", F.concat(F.lit("pages="), F.size("pages")), F.concat(F.lit("rows="), F.aggregate("pages", F.lit(0), lambda n, p: n + p["height"])), F.concat(F.lit("levels="), F.concat_ws(",", levels.cast("array<string>"))))
     return read.select(

@@ -13,6 +13,7 @@ that follow from each page's own bytes, so equal payloads give equal files.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -33,9 +34,10 @@ WIDTH, PAGE_ROWS, STRIP_ROWS, TILE = 576, 64, 16, 64
 STYLES = ((LZW, False, False), (LZW, True, True), (PACKBITS, False, False), (PACKBITS, True, False), (DEFLATE, False, False), (DEFLATE, False, True), (DEFLATE, True, False), (DEFLATE, True, True))
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """Stops once `most` bytes are there; so do the other decoders."""
+    out, i, n, size = [], 0, len(data), 0
+    while i < n and (most is None or size < most):
         head = data[i]
         if head < 128:
             out.append(data[i + 1 : i + 2 + head])
@@ -45,6 +47,8 @@ def unpack_bits(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
+            continue
+        size += len(out[-1])
     return b"".join(out)
 
 
@@ -67,10 +71,12 @@ def pack_bits(row: bytes) -> bytes:
     return b"".join(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
     """Codes are most significant bit first and widen one code early, as the format asks."""
-    table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
+    singles = [bytes([i]) for i in range(256)] + [b"", b""]
+    table = singles.copy()
     out, previous, width, bits, held = [], b"", 9, 0, 0
+    size, room = len(table), math.inf if most is None else most
     for byte in data:
         held = held << 8 | byte
         bits += 8
@@ -79,74 +85,78 @@ def lzw_decode(data: bytes) -> bytes:
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
-        if code == 257:
+        if code == 257 or room <= 0:
             break
         if code == 256:
-            del table[258:]
+            table, size = singles.copy(), 258
             previous, width = b"", 9
             continue
-        if code < len(table):
+        if code < size:
             entry = table[code]
-        elif code == len(table) and previous:
+        elif code == size and previous:
             entry = previous + previous[:1]
         else:
             raise ValueError("LZW code out of order")
         out.append(entry)
+        room -= len(entry)
         if previous:
             table.append(previous + entry[:1])
-        previous, size = entry, len(table) + 1
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+            size += 1
+            if size >= 511:
+                width = 10 if size < 1023 else 11 if size < 2047 else 12
+        previous = entry
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
     out, bits, held, width = bytearray(), 9, 256, 9
-    codes: dict[bytes, int] = {bytes([i]): i for i in range(256)}
-    following, prefix = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        held = held << width | code
+    # A string in the table is known by the code of all but its last byte, and that byte.
+    codes: dict[int, int] = {}
+    following, prefix = 258, data[0] if data else -1
+
+    for byte in data[1:]:
+        longer = prefix << 8 | byte
+        known = codes.get(longer)
+        if known is not None:
+            prefix = known
+            continue
+        held = held << width | prefix
         bits += width
         while bits >= 8:
             bits -= 8
             out.append(held >> bits & 255)
         held &= (1 << bits) - 1
-
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in codes:
-            prefix = longer
-            continue
-        put(codes[prefix])
         codes[longer] = following
         following += 1
-        prefix = data[i : i + 1]
+        prefix = byte
         if following == 4094:
-            put(256)
-            codes = {bytes([k]): k for k in range(256)}
+            held = held << width | 256
+            bits += width
+            codes = {}
             following, width = 258, 9
         elif following >= (1 << width):
             width += 1
-    if prefix:
-        put(codes[prefix])
+    if prefix >= 0:
+        held = held << width | prefix
+        bits += width
         if following + 1 >= (1 << width) and width < 12:
             width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
+    held = held << width | 257
+    bits += width
+    out += (held << (-bits % 8)).to_bytes((bits + 7) // 8, "big")
     return bytes(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
+def _decoded(data: bytes, compression: int, most: int) -> bytes:
+    """At most about `most` bytes, whatever the data would unfold to."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -192,7 +202,7 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> dict:
     rows = []
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         tall = high if tiled else min(high, height - k * high)
-        block = np.frombuffer(_decoded(data[offset : offset + count], compression), dtype=np.uint8)
+        block = np.frombuffer(_decoded(data[offset : offset + count], compression, tall * wide * samples), dtype=np.uint8)
         if block.size < tall * wide * samples:
             raise ValueError("a block is cut short")
         block = block[: tall * wide * samples].reshape(tall, wide, samples)
@@ -298,6 +308,11 @@ def encoded(payload: Column) -> Column:
 
 
 def read_pages(df: DataFrame, media_col: str) -> DataFrame:
-    """One row per page of `media_col`; the other columns of `df` are repeated, the media left out."""
+    """One row per page of `media_col`; the other columns of `df` are repeated, the media left out.
+
+    Columns of `df` with the name of a column of pages are left out too. Rows without media give no
+    row, equal rows give equal rows, and an empty table gives none.
+    """
+    names = _EMPTY.keys() | {"page", "error"}
     paged = df.withColumn("__page", F.explode(decoded(F.col(media_col))))
-    return paged.select(*[c for c in df.columns if c != media_col], "__page.*")
+    return paged.select(*[F.col(f"`{c}`") for c in df.columns if c != media_col and c not in names], "__page.*")
