@@ -6,9 +6,9 @@ the class's width slides over the characters, its Shannon entropy kept up to dat
 of the character that enters and the one that leaves. Windows at or above the class's threshold
 that mix letters with two digits or more merge into spans of kind `entropy_<class>`; so do windows
 with fewer digits at `MIXED_BITS` with `MIXED_CASE` letters of either case, unless their run reads
-as joined words (`WORDS`). Spans that an allow-list
-pattern covers, or that lie within a base span or an earlier class's span, are left out; base
-spans always stay.
+as joined words (`WORDS`). The allow list suppresses spans, not their neighbours: a span is left out
+if one allowed string, standing between signs that are neither letters nor digits, covers it. So are
+spans within a base span or an earlier class's span; base spans always stay.
 
 Positions are code points, ends exclusive. Null texts count as empty; texts are read whole. A text
 without secrets has an empty list of spans. Other columns pass through, but one with the output's
@@ -41,8 +41,7 @@ ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9:.Z+-]*",  # date and time
     r"[0-9]+(?:[.=_/+-][0-9]+)*",  # numbers and versions
-    r"(?:https?|ftp)[A-Za-z0-9/=_.+-]*",  # what follows a scheme
-    r"[A-Za-z0-9+/_.=-]*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh)[A-Za-z0-9+/_.=-]*",  # placeholders
+    r"(?:[A-Za-z]+[_/.=-]+)*[A-Za-z0-9+]*(?:EXAMPLE|example|XXXX|xxxx|0123456789|abcdefgh)[A-Za-z0-9+]*",  # placeholders, with words in front
     r"(?:[A-Za-z]+[_/.=-]+)*[A-Za-z]+[0-9]{1,4}",  # a name with a number behind it
 )
 MIN_RUN = 20
@@ -106,6 +105,11 @@ def _windows(s: str, width: int, bits: float, mixed: float = math.inf) -> Iterat
         yield start, end
 
 
+def allowed_pattern(allow: tuple[str, ...] = ALLOWED) -> str:
+    """One pattern of all allowed strings, each between signs that are neither letters nor digits."""
+    return r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})(?![A-Za-z0-9])" for p in allow) + ")" if allow else r"(?!)"
+
+
 def scan_text(text: str | None, allowed: re.Pattern, classes: tuple = CLASSES) -> list[Span]:
     """All spans of one text, by start and then by kind as listed."""
     if not text:
@@ -113,14 +117,17 @@ def scan_text(text: str | None, allowed: re.Pattern, classes: tuple = CLASSES) -
     runs = [(m.start(), m[0]) for m in _RUN.finditer(text)]
     spans = _base(text, runs)
     for at, run in runs:
-        if not any(c.isdigit() for c in run) and min(sum(map(str.isupper, run)), sum(map(str.islower, run))) < MIXED_CASE or allowed.fullmatch(run):
+        if not any(c.isdigit() for c in run) and min(sum(map(str.isupper, run)), sum(map(str.islower, run))) < MIXED_CASE:
             continue
+        fine = [m.span() for m in allowed.finditer(run)]
         for name, chars, width, bits in classes:
             for m in chars.finditer(run):
-                if allowed.fullmatch(m[0]):
+                if any(a <= m.start() and m.end() <= b for a, b in fine):
                     continue
                 mixed = math.inf if name == "hex" or WORDS.fullmatch(m[0]) else MIXED_BITS
                 for lo, hi in _windows(m[0], width, bits, mixed):
+                    if any(a <= m.start() + lo and m.start() + hi <= b for a, b in fine):
+                        continue
                     lo, hi = at + m.start() + lo, at + m.start() + hi
                     if not any(a <= lo and hi <= b for _, a, b in spans):
                         spans.append((f"entropy_{name}", lo, hi))
@@ -130,7 +137,7 @@ def scan_text(text: str | None, allowed: re.Pattern, classes: tuple = CLASSES) -
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Adds `out_col`: the spans of each text as an array of (kind, start, end)."""
-    pattern = "|".join(f"(?:{p})" for p in allow) or r"(?!)"
+    pattern = allowed_pattern(allow)
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
