@@ -56,6 +56,22 @@ SENTENCES = (
     ("Mpl2", r"subject to the terms of the mozilla public license v 2 0"),
     ("Isc", r"permission to use copy modify and or distribute this software for any purpose"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("SpdxApache2", r"spdx license identifier apache 2 0"),
+    ("SpdxMit", r"spdx license identifier mit"),
+    ("SpdxBsd2", r"spdx license identifier bsd 2 clause"),
+    ("SpdxBsd3", r"spdx license identifier bsd 3 clause"),
+    ("SpdxAgpl3Later", r"spdx license identifier agpl 3 0( or later)"),
+    ("SpdxLgpl21Later", r"spdx license identifier lgpl 2 1( or later)"),
+    ("SpdxLgpl3Later", r"spdx license identifier lgpl 3 0( or later)"),
+    ("SpdxGpl2Later", r"spdx license identifier gpl 2 0( or later)"),
+    ("SpdxGpl3Later", r"spdx license identifier gpl 3 0( or later)"),
+    ("SpdxAgpl3", r"spdx license identifier agpl 3 0( only)?"),
+    ("SpdxLgpl21", r"spdx license identifier lgpl 2 1( only)?"),
+    ("SpdxLgpl3", r"spdx license identifier lgpl 3 0( only)?"),
+    ("SpdxGpl2", r"spdx license identifier gpl 2 0( only)?"),
+    ("SpdxGpl3", r"spdx license identifier gpl 3 0( only)?"),
+    ("SpdxMpl2", r"spdx license identifier mpl 2 0"),
+    ("SpdxIsc", r"spdx license identifier isc"),
     ("Reserved", r"all rights reserved"),
 )
 #: Licenses and the identifier sequences that grant them, in the order they are tried.
@@ -81,6 +97,22 @@ RULES = (
     ("MPL-2.0", ("Mpl2",)),
     ("ISC", ("Isc",)),
     ("Unlicense", ("Unlicense",)),
+    ("Apache-2.0", ("SpdxApache2",)),
+    ("MIT", ("SpdxMit",)),
+    ("BSD-2-Clause", ("SpdxBsd2",)),
+    ("BSD-3-Clause", ("SpdxBsd3",)),
+    ("AGPL-3.0-or-later", ("SpdxAgpl3Later",)),
+    ("LGPL-2.1-or-later", ("SpdxLgpl21Later",)),
+    ("LGPL-3.0-or-later", ("SpdxLgpl3Later",)),
+    ("GPL-2.0-or-later", ("SpdxGpl2Later",)),
+    ("GPL-3.0-or-later", ("SpdxGpl3Later",)),
+    ("AGPL-3.0", ("SpdxAgpl3",)),
+    ("LGPL-2.1", ("SpdxLgpl21",)),
+    ("LGPL-3.0", ("SpdxLgpl3",)),
+    ("GPL-2.0", ("SpdxGpl2",)),
+    ("GPL-3.0", ("SpdxGpl3",)),
+    ("MPL-2.0", ("SpdxMpl2",)),
+    ("ISC", ("SpdxIsc",)),
 )
 #: Rules over both halves of a notice, tried before `RULES`.
 LATER = (("AGPL-3.0-or-later", ("Agpl3", "GplLater")), ("LGPL-2.1-or-later", ("Lgpl21", "GplLater")), ("LGPL-3.0-or-later", ("Lgpl3", "GplLater")))
@@ -93,7 +125,8 @@ def _any(text: Column, parts: tuple[str, ...] = KEYWORDS) -> Column:
 
 def clauses(text: Column) -> Column:
     """Normalised clauses of a text in lower case, as an array; `<Name>` in place of what a pattern matched."""
-    cut = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(_CLAUSE), F.lit(" ")), r"[.!?]\s+", _CUT), r"[;:]\s+", _CLAUSE)
+    plain = F.regexp_replace(F.replace(text, F.lit(_CLAUSE), F.lit(" ")), r"\bv\.\s+", "v ")  # "v. 2.0" ends no sentence
+    cut = F.regexp_replace(F.regexp_replace(plain, r"[.!?]\s+", _CUT), r"[;:]\s+", _CLAUSE)
     flat = F.regexp_replace(F.regexp_replace(cut, f"[^a-z0-9{_CUT}{_CLAUSE}]+", " "), f" ?([{_CUT}{_CLAUSE}]) ?", "$1")
     for known, pattern in SENTENCES:
         flat = F.regexp_replace(flat, rf"\b(?:{pattern.replace(' ', f'[ {_CLAUSE}]')})\b", f"<{known}>")
