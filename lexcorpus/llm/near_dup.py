@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.llm import substrings
-from lexcorpus.llm.common import checkpointed
+from lexcorpus.llm.common import checkpointed, hashable
 from lexcorpus.llm.components import components
 from lexcorpus.llm.langid import chunks
 
 #: Distinct words whose hashes a worker remembers; nodes in a block of a bucket.
 CACHE_ENTRIES, BLOCK = 400_000, 256
+#: Members from which a group is large, and at most so many groups of that share of all rows.
+LARGE = 10_000
 
 _WORD = re.compile(r"\w+")
 
@@ -156,6 +158,17 @@ def _row_keys(id_col: Column, text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(id_col, F.length(text), text)}
 
 
+def _joined(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """`rows` with the columns of their group, as a left join; `groups` has one row per key.
+
+    Groups of more than a ten-thousandth of all rows, of which there are fewer than ten thousand, go
+    to their members by broadcast, so that no large group lands in one task.
+    """
+    large = groups.where(F.col(size) > max(LARGE, total // LARGE)).drop(size)
+    few = F.broadcast(large.select(key))
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(few, key, "left_anti").join(groups.drop(size), key, "left"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row per row of `df`: `id_col`, k1, k2, class_id, copy_id, n_links, kept.
 
@@ -237,9 +250,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.select("u", "v"))
     info = nodes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = info.groupBy("root").agg(F.min("row").alias("class_row"))
-    info = info.join(classes, "root").select("print", F.col("row.id").alias("least"), "class_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    made = signatures.select("id", "k1", "k2", "print").join(info, "print", "left")
+    classes = info.groupBy("root").agg(F.min("row").alias("class_row"), F.count("*").alias("of_class"))
+    total = signatures.count()
+    classed = _joined(info, checkpointed(classes), "root", "of_class", total)
+    facts = classed.select("print", "copies", F.col("row.id").alias("least"), "class_row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    made = _joined(signatures.select("id", "k1", "k2", "print"), checkpointed(facts), "print", "copies", total)
     alone = F.col("print").isNull()
     return made.select(
         F.col("id").alias(id_col),
@@ -253,8 +268,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`df` with one row of each near-duplicate class; all columns are kept."""
+    """`df` with one row of each near-duplicate class; all columns are kept.
+
+    Of rows that are equal in id and text the one stays whose other columns hash least.
+    """
     kept = near_duplicates(df, id_col, text_col, **options).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     keys = _row_keys(F.col(id_col), F.col(text_col))
     keyed = df.withColumns({f"__{k}": v for k, v in keys.items()})
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    left = keyed.join(kept.distinct(), ["__k1", "__k2"], "left_semi").withColumn("__other", F.xxhash64(*hashable(df)))
+    first = left.groupBy("__k1", "__k2").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), "__other").alias("__row"))
+    return first.select("__row.*")
