@@ -39,7 +39,7 @@ MARK = "▁"
 #: Letters of a unit that are exploded and folded in one block.
 BLOCK = 64
 #: Letters of text, or units alone, in one partition, so that their edges fit in memory.
-CHARS_A_PARTITION, UNITS_A_PARTITION = 1_000_000, 5_000
+CHARS_A_PARTITION, UNITS_A_PARTITION = 300_000, 1_500
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
 SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 50_000, 400_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
