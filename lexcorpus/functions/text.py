@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +17,30 @@ def escaped(word: str) -> str:
     return "".join(f"\\{c}" if c in r"\.^$|?*+()[]{}-" else c for c in word)
 
 
+#: What words consist of, in any script; what lies between them; and the borders of a whole word.
+LETTER, GAP = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
+BEGIN, END = rf"(?<!{LETTER})", rf"(?!{LETTER})"
+#: Endings that are cut off a word, and what takes their place, one after another.
+STEM_RULES = ((r"(?<=[^aeiou].)ies$", "y"), (r"(?<=[a-z]{3})(?:ing|ed|es)$", ""), (r"(?<=[^su])s$", ""))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of a text in order."""
-    return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
+
+
+def words_of(text: str) -> list[str]:
+    """The same words of a plain string."""
+    return re.findall(r"\w+", text.lower())
+
+
+def stemmed(word: Column) -> Column:
+    """A light stem: plural, -ing and -ed endings are cut off."""
+    return reduce(lambda w, rule: F.regexp_replace(w, *rule), STEM_RULES, word)
+
+
+def stem_of(word: str) -> str:
+    return reduce(lambda w, rule: re.sub(rule[0], rule[1], w), STEM_RULES, word)
 
 
 def word_count(text: Column) -> Column:
@@ -31,21 +52,10 @@ def token_table(paras: DataFrame, *keys: str) -> DataFrame:
     return paras.select(*keys, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
-def stem(vocabulary: DataFrame, token_col: str = "token") -> DataFrame:
-    """Adds `stem` to a table of distinct words: plural, -ing and -ed endings are cut off."""
-
-    @F.pandas_udf("string")
-    def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.str.replace(r"(?<=[^aeiou].)ies$", "y", regex=True).str.replace(r"(?<=\w{3})(?:ing|ed|es)$", "", regex=True).str.replace(r"(?<=[^su])s$", "", regex=True)
-
-    return vocabulary.withColumn("stem", stemmed(token_col))
-
-
 def english_tokens(paras: DataFrame, *keys: str, stop_words: Sequence[str] = tuple(D.FUNCTION_WORDS)) -> DataFrame:
-    """`token_table` without stop words and with stems; each distinct word is stemmed once."""
+    """`token_table` without stop words and with light stems."""
     found = token_table(paras, *keys).where(~F.col("token").isin(list(stop_words)))
-    return found.join(stem(found.select("token").distinct()), "token").select(*keys, "pos", F.col("stem").alias("token"))
+    return found.select(*keys, "pos", stemmed(F.col("token")).alias("token"))
 
 
 def context_window(text: Column, needle: Column, chars: int) -> Column:
@@ -58,7 +68,7 @@ def context_window(text: Column, needle: Column, chars: int) -> Column:
 
 def highlighted(text: Column, terms: Sequence[str], window: int = 80, most: int = 300) -> Column:
     """Spans (text, highlighted) of the window around the first term; joined they are the window."""
-    any_term = "(?i)(" + "|".join(escaped(t) for t in terms) + ")"
+    any_term = "(?iu)(" + "|".join(escaped(t) for t in terms) + ")"
     at = F.regexp_instr(text, F.lit(any_term))
     hit = F.regexp_extract(text, any_term, 1)
     start = F.greatest(at - window, F.lit(1))

@@ -88,7 +88,7 @@ def snippets(paras: DataFrame, page: DataFrame, terms: Sequence[str], n: int = 3
     own = paras.join(page.select("case_id"), "case_id", "left_semi")
     hits = F.lit(0)
     for t in terms:
-        hits = hits + F.regexp_count("text", F.lit("(?i)" + escaped(t)))
+        hits = hits + F.regexp_count("text", F.lit("(?iu)" + escaped(t)))
     scored = own.withColumn("hits", hits if terms else F.lit(1)).where("hits > 0").withColumn("__head", F.substring("text", 1, 60))
     order = [F.desc("hits") if terms else F.desc_nulls_last("quality_score"), F.col("para_no")]
     first = scored.withColumn("__same", F.row_number().over(Window.partitionBy("case_id", "__head").orderBy(*order))).where("__same = 1")

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexcorpus.functions.text import escaped, tokens
+from lexcorpus.functions.text import BEGIN, END, GAP, LETTER, escaped, stem_of, stemmed, tokens, words_of
+
+#: Distinct query terms up to which they are broadcast.
+SMALL = 100_000
 
 
 @dataclass(frozen=True)
@@ -46,43 +49,50 @@ def _text(test, terms: Sequence[str], pattern: str) -> Query:
 
 
 def _matches(pattern: str):
-    return lambda text: F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+    return lambda text: F.coalesce(text.rlike("(?iu)" + pattern), F.lit(False))
+
 
+def _whole(pattern: str) -> str:
+    return BEGIN + pattern + END
 
-def term(words: str) -> Query:
-    """Every word of `words` in one paragraph."""
-    each = words.lower().split()
+
+def term(words: str, english: bool = False) -> Query:
+    """Every word of `words` in one paragraph; with `english` words count as equal if their stems are."""
+    each = [stem_of(w) if english else w for w in words_of(words)]
 
     def test(text: Column) -> Column:
-        found = F.split(F.lower(text), r"\W+")
+        found = tokens(text)
+        found = F.transform(found, stemmed) if english else found
         out = F.lit(True)
         for w in each:
             out = out & F.coalesce(F.array_contains(found, w), F.lit(False))
         return out
 
-    return _text(test, each, r"\s+".join(rf"\b{escaped(w)}\b" for w in each))
+    plain = words.lower().split()
+    return _text(test, plain, r"\s+".join(_whole(escaped(w)) for w in plain))
 
 
 def phrase(words: str) -> Query:
-    each = words.lower().split()
-    return _text(_matches(r"\b" + r"\W+".join(escaped(w) for w in each) + r"\b"), [words.lower(), *each], r"\s+".join(escaped(w) for w in each))
+    each = words_of(words)
+    plain = words.lower().split()
+    return _text(_matches(_whole(GAP.join(escaped(w) for w in each))), [words.lower(), *plain], r"\s+".join(escaped(w) for w in plain))
 
 
 def prefix(root: str) -> Query:
     root = root.rstrip("*!").lower()
-    return _text(_matches(rf"\b{escaped(root)}\w*"), [root], rf"\b{escaped(root)}\S*")
+    return _text(_matches(BEGIN + escaped(root)), [root], rf"{BEGIN}{escaped(root)}\S*")
 
 
 def wildcard(word: str) -> Query:
     """Each ? stands for exactly one letter of a whole word."""
-    inner = r"\w".join(escaped(p) for p in word.lower().split("?"))
-    return _text(_matches(rf"\b{inner}\b"), [word.lower()], rf"\b{inner}\b")
+    inner = _whole(LETTER.join(escaped(p) for p in word.lower().split("?")))
+    return _text(_matches(inner), [word.lower()], inner)
 
 
 def at_least(n: int, word: str) -> Query:
     if not 1 <= n <= 50:
         raise ValueError("n must be from 1 to 50")
-    pattern = rf"\b{escaped(word.lower())}\b"
+    pattern = _whole(escaped(word.lower()))
     return _text(lambda text: F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)) >= n, F.lit(False)), [word.lower()], pattern)
 
 
@@ -115,8 +125,24 @@ def same_sentence(left: Query, right: Query) -> Query:
     return _near(left, right, 30, True)
 
 
+def _in_paragraph(query: Query):
+    """The test of a query on one paragraph, compound queries included."""
+    if query.op == "text":
+        return query.test
+    parts = [_in_paragraph(p) for p in query.parts]
+    if query.op == "and":
+        return lambda text: parts[0](text) & parts[1](text)
+    if query.op == "or":
+        return lambda text: parts[0](text) | parts[1](text)
+    if query.op == "not":
+        return lambda text: ~parts[0](text)
+    raise ValueError("fields of a case have no place within a paragraph")
+
+
 def same_paragraph(left: Query, right: Query) -> Query:
-    return Query("text", test=lambda text: left.test(text) & right.test(text), terms=left.terms + right.terms, pattern=left.pattern)
+    """Both operands, which may be compound, within one paragraph."""
+    a, b = _in_paragraph(left), _in_paragraph(right)
+    return Query("text", test=lambda text: a(text) & b(text), terms=left.terms + right.terms, pattern=left.pattern)
 
 
 def field_contains(column: str, value: str) -> Query:
@@ -207,8 +233,10 @@ def with_act(cases: DataFrame, acts: DataFrame, column: str, value: str) -> Data
     return cases.join(acts.where(F.contains(F.lower(column), F.lit(value.lower()))).select("case_id"), "case_id", "left_semi")
 
 
-def filter_hits(hits: DataFrame, court: str | None = None, year_from: int | None = None, year_to: int | None = None, acts: Sequence[str] = ()) -> DataFrame:
+def filter_hits(hits: DataFrame, court: str | None = None, year_from: int | None = None, year_to: int | None = None, acts: Sequence[str] = (), court_code: str | None = None) -> DataFrame:
     """Lenient filters: a null year passes; any of `acts` in the acts referred to is enough."""
+    if court_code is not None:
+        hits = hits.where(F.col("court_code") == court_code)
     if court is not None:
         hits = hits.where(F.contains(F.lower("court"), F.lit(court.lower())))
     if year_from is not None:
@@ -227,13 +255,14 @@ def filter_hits(hits: DataFrame, court: str | None = None, year_from: int | None
 def by_field(cases: DataFrame, kind: str, value: str) -> DataFrame:
     """Exact-field search, the highest authority first."""
     low = F.lit(value.lower())
+    referred = [c for c in ("acts_referred", "constitutional_articles") if c in cases.columns]
     tests = {
         "court": F.col("court") == value,
         "case_id": (F.col("case_id") == value) | F.startswith("case_id", F.lit(value)),
         "year": F.col("year") == F.lit(value).cast("int"),
         "outcome": F.lower("outcome") == low,
         "party": F.coalesce(F.lower("petitioner") == low, F.lit(False)) | F.coalesce(F.lower("respondent") == low, F.lit(False)) if kind == "party" else F.lit(False),
-        "section": F.contains(F.lower(F.concat_ws(" ", "acts_referred")), low) if kind == "section" else F.lit(False),
+        "section": F.contains(F.lower(F.concat_ws(" ", *referred)), low) if kind == "section" else F.lit(False),
     }
     return cases.where(tests[kind]).orderBy(F.coalesce("authority_score", F.lit(0.0)).desc(), "case_id")
 
@@ -243,14 +272,23 @@ def within_results(hits: DataFrame, among: DataFrame) -> DataFrame:
 
 
 def cases_for_issues(issues: DataFrame, cases: DataFrame, n: int = 4) -> DataFrame:
-    """issues (issue_id, acts, query): the newest cases that share an act, or else hold a long query word."""
+    """issues (issue_id, acts, query): the newest cases that share an act, or else hold a long query word.
+
+    A query word holds no white space and five letters at least, so a case that holds it has it
+    within one of its strings between white space; these meet it by its first five letters.
+    """
     own = issues.select("issue_id", F.explode("acts").alias("act"))
     acts = cases.select("case_id", "year", F.explode("acts_referred").alias("act"))
     by_act = own.join(acts, "act").select("issue_id", "case_id", "year").distinct().withColumn("by", F.lit("act"))
     rest = issues.join(by_act.select("issue_id").distinct(), "issue_id", "left_anti")
     words = rest.select("issue_id", F.explode(F.slice(F.filter(F.split("query", r"\s+"), lambda w: F.length(w) > 4), 1, 4)).alias("word"))
-    texts = cases.select("case_id", "year", F.lower(F.concat_ws(" ", "case_name", "judgment")).alias("held"))
-    by_word = texts.join(words, F.contains("held", F.lower("word"))).select("issue_id", "case_id", "year").distinct().withColumn("by", F.lit("word"))
+    words = words.select("issue_id", F.lower("word").alias("word")).distinct().withColumn("head", F.substring("word", 1, 5))
+    strings = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "case_name", "judgment")), r"\s+"))
+    held = cases.select("case_id", "year", F.explode(strings).alias("string")).where(F.length("string") >= 5)
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("string") - 4), lambda i: F.substring(F.col("string"), i, F.lit(5))))
+    vocabulary = held.select("string").distinct().select("string", F.explode(heads).alias("head"))
+    known = vocabulary.join(words, "head").where(F.contains("string", F.col("word"))).select("issue_id", "string").distinct()
+    by_word = held.join(known, "string").select("issue_id", "case_id", "year").distinct().withColumn("by", F.lit("word"))
     newest = Window.partitionBy("issue_id").orderBy(F.desc_nulls_last("year"), "case_id")
     return by_act.union(by_word).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
@@ -272,13 +310,16 @@ def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int)
 def search_many(queries: DataFrame, paras: DataFrame, share: float = 1.0) -> DataFrame:
     """queries (query_id, terms): cases that hold at least that share of a query's terms, one at least.
 
-    Words and terms meet in an equi-join; distinct words of a case are formed first, so the size
-    of a case and the number of its repeats do not matter.
+    Words and terms meet in an equi-join; distinct words of a paragraph are formed first. Up to
+    `SMALL` distinct terms are broadcast, so that only words asked for are shuffled; more of them
+    meet the words in a shuffle.
     """
     wanted = queries.select("query_id", F.array_distinct(F.transform("terms", F.lower)).alias("terms")).withColumn("k", F.size("terms"))
     terms = wanted.select("query_id", "k", F.explode("terms").alias("token"))
     held = paras.select("case_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    held = held.join(terms.select("token").distinct(), "token", "left_semi").distinct()
+    asked = terms.select("token").distinct()
+    asked = F.broadcast(asked) if asked.limit(SMALL + 1).count() <= SMALL else asked
+    held = held.join(asked, "token", "left_semi").distinct()
     met = held.join(terms, "token").groupBy("query_id", "case_id").agg(F.count("*").alias("met"), F.first("k").alias("k"))
     return met.where(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("k") * share + 1e-9))).select("query_id", "case_id", "met")
 
@@ -300,6 +341,8 @@ def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     edits = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
     asked = queries.select("query_id", F.lower("term").alias("term")).withColumn("most", edits)
     left = asked.select("*", F.explode(forms(F.col("term"), 2)).alias("form"))
-    right = vocabulary.select("token", F.explode(forms(F.col("token"), 2)).alias("form"))
+    # A word longer than the longest term by more than two letters is within two edits of none.
+    longest = asked.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+    right = vocabulary.where(F.length("token") <= longest + 2).select("token", F.explode(forms(F.col("token"), 2)).alias("form"))
     pairs = left.join(right, "form").select("query_id", "term", "most", "token").distinct()
     return pairs.withColumn("edits", F.levenshtein("term", "token")).where(F.col("edits") <= F.col("most")).select("query_id", "term", "token", "edits")
