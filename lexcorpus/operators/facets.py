@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,13 @@ def filter_options(cases: DataFrame) -> DataFrame:
     return cases.agg(*lists, F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.count("*").alias("n_cases"))
 
 
+def corpus_counts(cases: DataFrame, paras: DataFrame, acts: DataFrame) -> DataFrame:
+    """One row: how many cases, paragraphs and act rows there are."""
+    tables = {"n_cases": cases, "n_paragraphs": paras, "n_acts": acts}
+    ones = [t.select(*[F.lit(int(own == name)).alias(name) for name in tables]) for own, t in tables.items()]
+    return reduce(DataFrame.union, ones).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in tables])
+
+
 KINDS = ("arguments", "brief", "reasoning", "strategy", "timeline", "issues")
 
 

@@ -84,6 +84,29 @@ def corrections(words: DataFrame, spellings: Mapping[str, Sequence[str]] = D.SPE
     return words.withColumn("corrected", each("word"))
 
 
+def boosted_terms(queries: DataFrame, terms: Mapping[str, tuple[float, Sequence[str]]] = D.NATIVE_TERMS) -> DataFrame:
+    """Adds `native_terms`: (term, boost) of the terms of which a query holds some wording, by term."""
+    low = F.lower("query")
+    found = [F.when(_holds(low, wordings), F.struct(F.lit(t).alias("term"), F.lit(boost).alias("boost"))) for t, (boost, wordings) in sorted(terms.items())]
+    return queries.withColumn("native_terms", F.array_compact(F.array(*found)))
+
+
+def spellings(queries: DataFrame, variants: Mapping[str, Sequence[str]] = D.TRANSLITERATIONS) -> DataFrame:
+    """Adds `spellings`: the query, and in lower case each rewrite of a word it holds to another spelling."""
+    low = F.lower("query")
+    made = [F.when(F.contains(low, F.lit(k)), F.replace(low, F.lit(k), F.lit(v))) for k, vs in variants.items() for v in vs]
+    return queries.withColumn("spellings", F.array_distinct(F.concat(F.array("query"), F.array_compact(F.array(*made)))))
+
+
+def learned_corrections(suggestions: DataFrame) -> DataFrame:
+    """suggestions (misspelling, correction, confidence, at): per misspelling the newest ones and how many there were.
+
+    Of suggestions made at one time the alphabetically last correction counts, then the highest confidence.
+    """
+    newest = F.max_by(F.struct("correction", "confidence"), F.struct("at", "correction", "confidence")).alias("newest")
+    return suggestions.groupBy("misspelling").agg(newest, F.count("*").alias("n")).select("misspelling", "newest.*", "n")
+
+
 def correct_queries(queries: DataFrame, **options) -> DataFrame:
     """Adds corrected_query and n_corrections; words that need none keep their form."""
     spread = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("pos", "raw")).withColumn("word", F.regexp_replace("raw", r"[^\w]", ""))

@@ -300,6 +300,53 @@ register("j9_aliases", "SELECT case_id, CASE CAST(case_id AS BIGINT) % 4 WHEN 0
 register("a12_log_statistics", "SELECT count(*) AS total, CAST(count_if(success) AS BIGINT) AS successes, round(count_if(success) / CAST(count(*) AS DOUBLE), 6) AS success_rate FROM query_log")(lambda f: query_tables.log_statistics(f.log).withColumn("success_rate", F.round("success_rate", 6)))
 register("a12_log_patterns", "g AS (SELECT success, match_type, count(*) AS n FROM query_log GROUP BY success, match_type), r AS (SELECT *, row_number() OVER (PARTITION BY success ORDER BY n DESC, match_type) AS r FROM g) SELECT success, match_type, n FROM r WHERE NOT success OR r <= 5")(lambda f: query_tables.log_patterns(f.log))
 
+# Queries about native terms, with a wording that depends on the row.
+_NATIVE = """CASE query_id % 5 WHEN 0 THEN 'Election to the Gram Panchayath' WHEN 1 THEN 'TALUKA and Tehsil office' WHEN 2 THEN 'begari of a zamindar'
+WHEN 3 THEN match_type ELSE 'mauza in the taluka' END"""
+
+
+def _native(f: Fixtures) -> DataFrame:
+    return f.log.select("query_id", F.expr(_NATIVE).alias("query"))
+
+
+_TERM_CASES = ", ".join(
+    f"CASE WHEN {' OR '.join(f'contains(v, {chr(39)}{w}{chr(39)})' for w in wordings)} THEN '{t}:{boost}' END" for t, (boost, wordings) in sorted(D.NATIVE_TERMS.items())
+)
+register(
+    "j8_native_terms",
+    f"""n AS (SELECT query_id, lower({_NATIVE}) AS v FROM query_log)
+SELECT query_id, array_to_string(list_filter([{_TERM_CASES}], lambda x: x IS NOT NULL), ',') AS terms FROM n""",
+)(
+    lambda f: query_tables.boosted_terms(_native(f)).select(
+        "query_id",
+        F.array_join(F.transform("native_terms", lambda t: F.concat_ws(":", t["term"], t["boost"].cast("string"))), ",").alias("terms"),
+    )
+)
+_REWRITES = ", ".join(f"CASE WHEN contains(lower(q), '{k}') THEN replace(lower(q), '{k}', '{v}') END" for k, vs in D.TRANSLITERATIONS.items() for v in vs)
+register(
+    "j8_spellings",
+    f"""n AS (SELECT query_id, {_NATIVE} AS q FROM query_log), u AS (SELECT DISTINCT query_id, unnest([q, {_REWRITES}]) AS spelling FROM n)
+SELECT query_id, spelling FROM u WHERE spelling IS NOT NULL""",
+)(lambda f: query_tables.spellings(_native(f)).select("query_id", F.explode("spellings").alias("spelling")))
+_SUGGESTED = "SELECT match_type || CAST(user_id % 50 AS VARCHAR) AS misspelling, match_type AS correction, CAST(results_count % 10 AS DOUBLE) / 10 AS confidence, query_id AS seen FROM query_log"
+register(
+    "a12_corrections",
+    f"""g AS ({_SUGGESTED}), r AS (SELECT *, row_number() OVER (PARTITION BY misspelling ORDER BY seen DESC) AS k, count(*) OVER (PARTITION BY misspelling) AS n FROM g)
+SELECT misspelling, correction, confidence, n FROM r WHERE k = 1""",
+)(
+    lambda f: query_tables.learned_corrections(
+        f.log.select(
+            F.concat("match_type", (F.col("user_id") % 50).cast("string")).alias("misspelling"),
+            F.col("match_type").alias("correction"),
+            ((F.col("results_count") % 10).cast("double") / 10).alias("confidence"),
+            F.col("query_id").alias("at"),
+        )
+    )
+)
+register("a6_corpus_counts", "SELECT (SELECT count(*) FROM cases) AS n_cases, (SELECT count(*) FROM paras) AS n_paragraphs, (SELECT count(*) FROM acts) AS n_acts")(
+    lambda f: facets.corpus_counts(f.cases, f.paras, f.acts)
+)
+
 # Sources and incremental jobs
 register("s1_load_tables", "SELECT case_id, case_name, court FROM cases")(lambda f: f.cases.select("case_id", "case_name", "court"))
 register("s3_upsert", "SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r FROM lineitem) WHERE r = 1")(
