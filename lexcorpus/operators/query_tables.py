@@ -33,7 +33,7 @@ def resolve_names(mentions: DataFrame, cases: DataFrame) -> DataFrame:
     """
     asked = mentions.withColumn("words", name_words(F.col("mention"))).where(F.col("words").isNotNull()).select("mention_id", "words", F.array_join("words", " ").alias("search"))
     names = cases.where(F.col("case_name").isNotNull()).groupBy(F.lower("case_name").alias("name")).agg(F.min("case_id").alias("case_id"))
-    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, r"\W+"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, X.GAP), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
     left = asked.select("mention_id", F.explode(F.array_union(pieces(F.col("search")), X.trigrams(F.col("search")))).alias("piece"))
     right = names.select("name", F.explode(F.array_union(pieces(F.col("name")), X.trigrams(F.col("name")))).alias("piece"))
     pairs = left.join(right, "piece").select("mention_id", "name").distinct().join(asked, "mention_id").join(names, "name")

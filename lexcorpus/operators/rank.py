@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.functions.dictionaries import COURT_SCORES, MATCH_SCORES
+from lexcorpus.functions.text import GAP
 
 
 def _clamped(x: Column) -> Column:
@@ -54,7 +55,7 @@ def rerank(hits: DataFrame, cites: DataFrame) -> DataFrame:
 
 def name_hits(name: Column, query: Column) -> Column:
     """How many words of over two letters of the query stand in the name; 0 below two."""
-    words = F.array_distinct(F.filter(F.split(F.lower(query), r"\W+"), lambda w: F.length(w) > 2))
+    words = F.array_distinct(F.filter(F.split(F.lower(query), GAP), lambda w: F.length(w) > 2))
     n = F.size(F.filter(words, lambda w: F.contains(F.lower(name), w)))
     return F.when(n >= 2, n).otherwise(0)
 

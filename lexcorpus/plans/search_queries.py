@@ -156,6 +156,10 @@ def _assembled(f: Fixtures) -> DataFrame:
 register("j1_assembly", _ASSEMBLED + "SELECT case_id, year, cited_by_count, act_names, sections FROM s")(lambda f: _assembled(f).select("case_id", "year", "cited_by_count", "act_names", "sections"))
 register("r1_relevance", _ASSEMBLED + "SELECT case_id, relevance_score FROM s")(lambda f: _assembled(f).select("case_id", "relevance_score"))
 register("r4_sort_modes", _ASSEMBLED + "SELECT case_id, year FROM s ORDER BY year DESC NULLS LAST, case_id LIMIT 40")(lambda f: _assembled(f).orderBy(*rank.order("date_desc")).limit(40).select("case_id", "year"))
+for _mode, _keys in (("date_asc", "year ASC NULLS LAST"), ("citations", "cited_by_count DESC NULLS LAST"), ("relevance", "relevance_score DESC NULLS LAST")):
+    register(f"r4_{_mode}", _ASSEMBLED + f"SELECT case_id, year, cited_by_count FROM s ORDER BY {_keys}, case_id LIMIT 40")(
+        lambda f, mode=_mode: _assembled(f).orderBy(*rank.order(mode)).limit(40).select("case_id", "year", "cited_by_count")
+    )
 register("k10_page", _ASSEMBLED + "SELECT case_id, relevance_score, (SELECT count(*) FROM s) AS total_rows, CAST(ceil((SELECT count(*) FROM s) / 10.0) AS BIGINT) AS total_pages FROM s ORDER BY relevance_score DESC, case_id LIMIT 10 OFFSET 10")(lambda f: search.page(_assembled(f).select("case_id", "relevance_score"), rank.order("relevance"), 2, 10))
 register("boolean_search", _ASSEMBLED + "SELECT case_id, year, matched, cited_by_count, relevance_score FROM s ORDER BY relevance_score DESC, case_id LIMIT 25")(lambda f: _assembled(f).orderBy(*rank.order("relevance")).limit(25).select("case_id", "year", "matched", "cited_by_count", "relevance_score"))
 
