@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm import cover_tree, langid, licenses, near_dup, packing, piece_lattice, secret_scan, tiff, token_counts, toxicity
+from lexcorpus.llm import cover_tree, fim, langid, licenses, near_dup, packing, piece_lattice, secret_scan, tiff, token_counts, toxicity, tree_bpe, whitening
 from lexcorpus.llm.common import held_out, table
 
 
@@ -99,8 +99,44 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = tree_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    back = tree_bpe.decode(made.select("doc_id", "ids"), path)
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return back.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = whitening.whole_numbers(F.col("embedding"), scale=64, shift=1_000_000).alias("vector")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole)
+    model = whitening.fit(vectors)
+    explained = F.array(*map(F.lit, model.explained.tolist())).cast("array<double>")
+    rows = whitening.transform(vectors, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_language_id, op4_secret_scan, op5_tiff, op6_toxicity, op7_ngram_jaccard, op8_token_counts, op9_cover_tree, op10_piece_lattice)}
+    made = (
+        op1_license_scan, op2_packing, op3_language_id, op4_secret_scan, op5_tiff, op6_toxicity, op7_ngram_jaccard, op8_token_counts,
+        op9_cover_tree, op10_piece_lattice, op11_fill_in_middle, op12_tree_bpe, op13_whitening,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
