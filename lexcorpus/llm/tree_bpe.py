@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from lexcorpus.llm.packing import _Encoder
 
 #: The longest word that is encoded in one go, in bytes, and the longest text that stays in its task.
 UNIT, SPREAD = 2048, 1 << 16
+#: Rows of a batch that are Python objects at one time.
+ROWS = 256
 
 #: A sign that no engine takes for white space, in front of one that all do.
 _CUT = re.compile(r"[\w!-~](?=[ \t\r\n])")
@@ -176,6 +178,10 @@ def _encoder(*key) -> TreeEncoder:
     return _encoders.get(key) or _encoders.setdefault(key, TreeEncoder(*key))
 
 
+def _in_slices(column: pa.Array, made: Callable[[list], pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *(made(column.slice(at, ROWS).to_pylist()) for at in range(0, len(column), ROWS))])
+
+
 def encode(
     df: DataFrame,
     tokenizer_path: str,
@@ -192,7 +198,7 @@ def encode(
     def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(*key)
         for texts in batches:
-            yield pa.array([encoder(t) for t in texts.to_pylist()], pa.binary())
+            yield _in_slices(texts, lambda rows: pa.array([encoder(t) for t in rows], pa.binary()), pa.binary())
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*key)
@@ -255,8 +261,11 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: st
     @F.arrow_udf("string")
     def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _bytes_of(tokenizer_path)
+
+        def text_of(ids: bytes | None) -> str | None:
+            return None if ids is None else b"".join([table.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+
         for column in batches:
-            rows = (None if x is None else np.frombuffer(x, dtype="<u4").tolist() for x in column.to_pylist())
-            yield pa.array([None if r is None else b"".join([table.get(i, b"") for i in r]).decode("utf-8", "replace") for r in rows], pa.string())
+            yield _in_slices(column, lambda rows: pa.array(map(text_of, rows), pa.string()), pa.string())
 
     return df.withColumn(out_col, spelled(F.col(ids_col)))
