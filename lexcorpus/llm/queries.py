@@ -108,8 +108,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    made = tree_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = tree_bpe.decode(made.select("doc_id", "ids"), path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tree_bpe.encode(docs, path, public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded_col="decoded")
     n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return back.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -188,17 +188,26 @@ def encode(
     ranks_path: str | None = None,
     text_col: str = "text",
     out_col: str = "ids",
+    decoded_col: str | None = None,
     unit: int = UNIT,
     spread: int = SPREAD,
 ) -> DataFrame:
-    """Adds `out_col` (binary): the ids of each whole text as little-endian unsigned 32-bit integers."""
+    """Adds `out_col` (binary): the ids of each whole text as little-endian unsigned 32-bit integers.
+
+    With `decoded_col` the ids are decoded where they were made, in the same pass, as `decode` does.
+    """
     key = (tokenizer_path, ranks_path, unit)
+    kind = pa.struct([("ids", pa.binary()), ("text", pa.string())])
 
-    @F.arrow_udf("binary")
+    def with_text(ids: list[bytes]) -> pa.Array:
+        texts = [_text_of(x, _bytes_of(tokenizer_path)) for x in ids] if decoded_col else [None] * len(ids)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], fields=list(kind))
+
+    @F.arrow_udf("struct<ids: binary, text: string>")
     def at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(*key)
         for texts in batches:
-            yield _in_slices(texts, lambda rows: pa.array([encoder(t) for t in rows], pa.binary()), pa.binary())
+            yield _in_slices(texts, lambda rows: with_text([encoder(t) for t in rows]), kind)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(*key)
@@ -226,9 +235,9 @@ def encode(
     def joined(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
         each = [(j, np.frombuffer(x, dtype="<u4")) for j, x in zip(group["joined"].to_pylist(), group["ids"].to_pylist(), strict=True)]
-        return pa.table({"key": group["key"][:1], "ids": pa.array([_encoder(*key).concatenated(each).astype("<u4").tobytes()], pa.binary())})
+        return pa.table({"key": group["key"][:1], "made": with_text([_encoder(*key).concatenated(each).astype("<u4").tobytes()])})
 
-    rest = df.drop(out_col) if out_col != text_col else df
+    rest = df.drop(*({out_col, decoded_col} - {text_col, None}))
     text = F.coalesce(F.col(text_col), F.lit(""))
     named, made = f"__key_{len(df.columns)}", f"__ids_{len(df.columns)}"
     at_home = rest.where(F.octet_length(text) <= spread).withColumn(made, at_once(text))
@@ -236,9 +245,13 @@ def encode(
     rows = far.select(named, text.alias("string")).mapInArrow(parts, "key string, part int, spelled boolean, joined boolean, string string")
     # Copies of a long text meet here, before its parts are encoded.
     once = rows.dropDuplicates(["key", "part"]).mapInArrow(leaves, "key string, part int, joined boolean, ids binary")
-    told = once.groupBy("key").applyInArrow(joined, "key string, ids binary").select(F.col("key").alias(named), F.col("ids").alias(made))
+    told = once.groupBy("key").applyInArrow(joined, "key string, made struct<ids: binary, text: string>").select(F.col("key").alias(named), F.col("made").alias(made))
     whole = at_home.unionByName(far.join(told, named).drop(named))
-    return whole.withColumn(out_col, F.col(made)).drop(made)
+    return whole.withColumns({out_col: F.col(made)["ids"], **({decoded_col: F.col(made)["text"]} if decoded_col else {})}).drop(made)
+
+
+def _text_of(ids: bytes | None, table: dict[int, bytes]) -> str | None:
+    return None if ids is None else b"".join([table.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
 
 def _bytes_of(path: str) -> dict[int, bytes]:
@@ -261,11 +274,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: st
     @F.arrow_udf("string")
     def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _bytes_of(tokenizer_path)
-
-        def text_of(ids: bytes | None) -> str | None:
-            return None if ids is None else b"".join([table.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
-
         for column in batches:
-            yield _in_slices(column, lambda rows: pa.array(map(text_of, rows), pa.string()), pa.string())
+            yield _in_slices(column, lambda rows: pa.array([_text_of(x, table) for x in rows], pa.string()), pa.string())
 
     return df.withColumn(out_col, spelled(F.col(ids_col)))

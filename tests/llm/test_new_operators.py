@@ -121,6 +121,8 @@ def test_tree_bpe_equals_the_library(spark, odd, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids
         assert r.decoded == library.decode(ids, skip_special_tokens=False) == (r.text or "")
+    once = tree_bpe.encode(odd, BYTES, RANKS, decoded_col="form").select("ids", "form").collect()
+    assert sorted((r.ids, r.form) for r in once) == sorted((r.ids, r.decoded) for r in got)
 
 
 def test_tree_bpe_with_tiny_units_equals_the_library(spark, library):
