@@ -6,10 +6,12 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.functions import dictionaries as D
+from lexcorpus.functions import stem
 
 
 def escaped(word: str) -> str:
@@ -17,11 +19,9 @@ def escaped(word: str) -> str:
     return "".join(f"\\{c}" if c in r"\.^$|?*+()[]{}-" else c for c in word)
 
 
-#: What words consist of, in any script; what lies between them; and the borders of a whole word.
-LETTER, GAP = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
+#: What words consist of, in any script, with the marks that letters carry; what lies between them; and the borders of a whole word.
+LETTER, GAP = r"[\p{L}\p{M}\p{N}_]", r"[^\p{L}\p{M}\p{N}_]+"
 BEGIN, END = rf"(?<!{LETTER})", rf"(?!{LETTER})"
-#: Endings that are cut off a word, and what takes their place, one after another.
-STEM_RULES = ((r"(?<=[^aeiou].)ies$", "y"), (r"(?<=[a-z]{3})(?:ing|ed|es)$", ""), (r"(?<=[^su])s$", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -31,16 +31,7 @@ def tokens(text: Column) -> Column:
 
 def words_of(text: str) -> list[str]:
     """The same words of a plain string."""
-    return re.findall(r"\w+", text.lower())
-
-
-def stemmed(word: Column) -> Column:
-    """A light stem: plural, -ing and -ed endings are cut off."""
-    return reduce(lambda w, rule: F.regexp_replace(w, *rule), STEM_RULES, word)
-
-
-def stem_of(word: str) -> str:
-    return reduce(lambda w, rule: re.sub(rule[0], rule[1], w), STEM_RULES, word)
+    return regex.findall(f"{LETTER}+", text.lower())
 
 
 def word_count(text: Column) -> Column:
@@ -52,10 +43,11 @@ def token_table(paras: DataFrame, *keys: str) -> DataFrame:
     return paras.select(*keys, F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
-def english_tokens(paras: DataFrame, *keys: str, stop_words: Sequence[str] = tuple(D.FUNCTION_WORDS)) -> DataFrame:
-    """`token_table` without stop words and with light stems."""
-    found = token_table(paras, *keys).where(~F.col("token").isin(list(stop_words)))
-    return found.select(*keys, "pos", stemmed(F.col("token")).alias("token"))
+def english_tokens(paras: DataFrame, *keys: str) -> DataFrame:
+    """`token_table` as English: without stop words, with Snowball stems, which each distinct word gets once."""
+    found = token_table(paras, *keys).where(~F.col("token").isin(stem.STOP_WORDS))
+    stems = stem.stemmed(found.select("token").distinct())
+    return found.join(stems, "token").select(*keys, "pos", F.col("stem").alias("token"))
 
 
 def context_window(text: Column, needle: Column, chars: int) -> Column:

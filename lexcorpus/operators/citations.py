@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,23 +119,48 @@ def citation_tree(cites: DataFrame, roots: DataFrame, max_depth: int = 2) -> Dat
     return out
 
 
+#: Cited cases that travel to a judgment in one row.
+NAMES_A_ROW = 1000
+
+
+def treatment_counts(cites: DataFrame, cases: DataFrame, phrases: Mapping[str, Sequence[str]] = TREATMENTS, window: int = 1000) -> DataFrame:
+    """cited_case_id, source_case_id, edges and a count for each class of phrases, for every cited case and its citing judgments.
+
+    The names that a judgment cites come to it together, so each judgment leaves its scan once (once
+    for every `NAMES_A_ROW` or so of its cited cases) and is read once; only numbers are shuffled after that.
+    """
+    scanner = T.Scanner(phrases, window)
+    classes = list(phrases)
+    names = cases.select(F.col("case_id").alias("cited_case_id"), F.col("case_name").alias("name"))
+    pairs = cites.where(F.col("cited_case_id").isNotNull()).groupBy("source_case_id", "cited_case_id").agg(F.count("*").alias("edges")).join(names, "cited_case_id")
+    parts = F.ceil(F.count("*") / NAMES_A_ROW).alias("__parts")
+    dealt = pairs.join(pairs.groupBy("source_case_id").agg(parts), "source_case_id").withColumn("__part", F.pmod(F.xxhash64("cited_case_id"), F.col("__parts")))
+    lists = dealt.groupBy("source_case_id", "__part").agg(*[F.collect_list(F.struct("cited_case_id", "name", "edges")).alias("cited")])
+    texts = cases.select(F.col("case_id").alias("source_case_id"), "judgment").where(F.length("judgment") > 0)
+    each = texts.join(lists, "source_case_id").select("source_case_id", "judgment", "cited.cited_case_id", "cited.name", "cited.edges")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                source, text, cited, asked, edges = (batch.column(k)[row].as_py() for k in range(5))
+                found = list(zip(*scanner.read(text, asked), strict=True)) or [[]] * len(classes)
+                columns = [pa.array(cited, pa.string()), pa.array([source] * len(cited), pa.string()), pa.array(edges, pa.int64()), *[pa.array(c, pa.int64()) for c in found]]
+                yield pa.RecordBatch.from_arrays(columns, ["cited_case_id", "source_case_id", "edges", *classes])
+
+    return each.mapInArrow(read, ", ".join(["cited_case_id string, source_case_id string, edges long", *[f"`{c}` long" for c in classes]]))
+
+
 def treatment_status(cites: DataFrame, cases: DataFrame, phrases: Mapping[str, Sequence[str]] = TREATMENTS, window: int = 1000, top: int = 10) -> DataFrame:
     """Status of each cited case from the wording of the judgments that cite it.
 
-    Names (small) join the edges first; judgments are met once, cut to a window and reduced to
-    five counts at once, so no text is shuffled after that join.
+    A citing case that cites twice counts twice in the sums, but is listed once; the `top` listed are those of the least ids.
     """
-    names = cases.select(F.col("case_id").alias("cited_case_id"), F.col("case_name").alias("cited_name"))
-    pairs = cites.where(F.col("cited_case_id").isNotNull()).select("source_case_id", "cited_case_id").join(names, "cited_case_id")
-    texts = cases.select(F.col("case_id").alias("source_case_id"), "case_name", "year", "judgment").where(F.length("judgment") > 0)
-    near = F.coalesce(context_window(F.col("judgment"), F.col("cited_name"), window), F.substring("judgment", 1, 3000))
-    read = pairs.join(texts, "source_case_id").select("cited_case_id", "source_case_id", "case_name", "year", near.alias("near"))
-    counted = read.select("cited_case_id", "source_case_id", "case_name", "year", *[n.alias(c) for c, n in T.counts(F.col("near"), phrases).items()])
-    numbers = {c: F.col(c) for c in phrases}
-    totals = counted.groupBy("cited_case_id").agg(F.count("*").alias("scanned"), *[F.sum(c).alias(c) for c in phrases])
-    # A citing case that cites twice counts twice in the sums, but is listed once.
-    listed = counted.withColumn("treatment", T.dominant(numbers)).where(F.col("treatment").isNotNull()).dropDuplicates(["cited_case_id", "source_case_id"])
-    best = _ranked(listed, "cited_case_id", [F.col("source_case_id")], top).groupBy("cited_case_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source_case_id", "case_name", "year", "treatment"))).alias("top_citing"))
+    counted = treatment_counts(cites, cases, phrases, window)
+    totals = counted.groupBy("cited_case_id").agg(F.sum("edges").alias("scanned"), *[F.sum(F.col(c) * F.col("edges")).alias(c) for c in phrases])
+    listed = counted.withColumn("treatment", T.dominant({c: F.col(c) for c in phrases})).where(F.col("treatment").isNotNull())
+    first = _ranked(listed, "cited_case_id", [F.col("source_case_id")], top).select("cited_case_id", "rank", "source_case_id", "treatment")
+    info = cases.select(F.col("case_id").alias("source_case_id"), "case_name", "year")
+    best = first.join(info, "source_case_id").groupBy("cited_case_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source_case_id", "case_name", "year", "treatment"))).alias("top_citing"))
     four = (F.col("followed") + F.col("affirmed"), F.col("distinguished"), F.col("doubted"), F.col("overruled"))
     made = totals.join(best, "cited_case_id", "left")
     return made.select(F.col("cited_case_id").alias("case_id"), T.status(*four).alias("status"), T.label(*four).alias("label"), T.strength(*four).alias("strength"), "scanned", *phrases, "top_citing")

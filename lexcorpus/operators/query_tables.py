@@ -12,44 +12,60 @@ from pyspark.sql.window import Window
 
 from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import text as X
+from lexcorpus.operators.similarity import similar_names, within_edits
 
 
 def name_words(mention: Column) -> Column:
     """Words of a mention that can name a case; null where it names none."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(mention, r"[^\w\s]", " ")), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(D.FUNCTION_WORDS + D.INTENT_WORDS))
+    words = F.filter(X.tokens(mention), lambda w: (F.length(w) > 2) & ~w.isin(D.FUNCTION_WORDS + D.INTENT_WORDS))
     generic = F.size(F.filter(words, lambda w: w.isin(D.GENERIC_NOUNS)))
     telling = F.exists(words, lambda w: (F.length(w) >= 4) & ~w.isin(D.GENERIC_NOUNS))
     topic = (F.size(words) >= 2) & (generic >= F.size(words) * 0.6)
     return F.when(telling & ~topic, words)
 
 
+def _words_inside(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """words (distinct word) x vocabulary (distinct token): which tokens hold each word, met on the word's rarest piece."""
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+    known = vocabulary.where(F.length("token") > 2).select("token", F.explode(pieces("token")).alias("piece"))
+    counts = known.groupBy("piece").agg(F.count("*").alias("__n"))
+    asked = words.where(F.length("word") > 2).select("word", F.explode(pieces("word")).alias("piece"))
+    rarest = asked.join(counts, "piece", "left").groupBy("word").agg(F.min_by("piece", F.struct(F.coalesce("__n", F.lit(0)), "piece")).alias("piece"))
+    return known.join(rarest, "piece").where(F.contains("token", F.col("word"))).select("word", "token")
+
+
 def resolve_names(mentions: DataFrame, cases: DataFrame) -> DataFrame:
     """mentions (mention_id, mention) -> the case each one names, by the strictest level that finds one.
 
     1: three-letter pieces more than half in common (not for a single word under 7 letters);
     2: all of two or more words in the name; 3: at least two of them; 4: a single word of 6 letters.
-    Names are deduplicated, and candidates come from equi-joins on pieces. Words of four letters or
-    more meet names through their pieces, shorter ones are only counted.
+    Names are deduplicated. Level 1 is a similarity join. For the others the distinct words of the
+    mentions meet the distinct words of the names that hold them, and mentions meet names through all
+    their words but the commonest: a name that holds two of them holds one of those.
     """
     asked = mentions.withColumn("words", name_words(F.col("mention"))).where(F.col("words").isNotNull()).select("mention_id", "words", F.array_join("words", " ").alias("search"))
     names = cases.where(F.col("case_name").isNotNull()).groupBy(F.lower("case_name").alias("name")).agg(F.min("case_id").alias("case_id"))
-    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, X.GAP), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
-    left = asked.select("mention_id", F.explode(F.array_union(pieces(F.col("search")), X.trigrams(F.col("search")))).alias("piece"))
-    right = names.select("name", F.explode(F.array_union(pieces(F.col("name")), X.trigrams(F.col("name")))).alias("piece"))
-    pairs = left.join(right, "piece").select("mention_id", "name").distinct().join(asked, "mention_id").join(names, "name")
-    sim = X.similarity(F.col("name"), F.col("search"))
-    n, held = F.size("words"), F.size(F.filter("words", lambda w: F.contains(F.col("name"), w)))
-    first = F.element_at("words", 1)
-    level = (
-        F.when((sim > 0.5) & ~((n == 1) & (F.length(first) < 7)), 1)
-        .when((n >= 2) & (held == n), 2)
-        .when((n >= 2) & (held >= 2), 3)
-        .when((n == 1) & (F.length(first) >= 6) & (held == 1), 4)
-    )
-    rated = pairs.withColumns({"level": level, "sim": sim, "held": held}).where(F.col("level").isNotNull())
-    within = F.when(F.col("level") == 1, -F.col("sim")).when(F.col("level") == 3, -F.col("held").cast("double")).when(F.col("level") == 4, F.length("name").cast("double")).otherwise(0.0)
-    best = Window.partitionBy("mention_id").orderBy("level", within, "case_id")
-    return rated.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").select("mention_id", "case_id", "level")
+    n, first = F.size("words"), F.element_at("words", 1)
+    alike = similar_names(asked.select(F.col("search").alias("name")), names.select("name")).withColumnsRenamed({"a": "search", "b": "name"})
+    closest = asked.join(alike, "search").where((n > 1) | (F.length(first) >= 7)).select("mention_id", "name", F.lit(1).alias("level"), (-F.col("similarity")).alias("within"))
+
+    held = names.select("name", F.explode(F.array_distinct(X.tokens(F.col("name")))).alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    inside = _words_inside(asked.select(F.explode("words").alias("word")).distinct(), counts).join(counts, "token")
+    each = asked.select("mention_id", F.explode(F.array_distinct("words")).alias("word"))
+    rated = each.join(inside.groupBy("word").agg(F.sum("n").alias("n")), "word")  # words that no name holds find nothing
+    by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+    known = rated.groupBy("mention_id").agg(by_rarity.alias("known")).join(asked, "mention_id")
+    telling = F.when((F.size("known") > 1) & (F.size(F.array_distinct("words")) == n), F.slice("known", 1, F.size("known") - 1)).otherwise(F.col("known"))
+    heads = known.select("mention_id", F.explode(telling).alias("word")).join(inside.select("word", "token"), "word")
+    pairs = heads.join(held, "token").select("mention_id", "name").distinct().join(asked, "mention_id")
+    found = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w)))
+    level = F.when((n >= 2) & (found == n), 2).when((n >= 2) & (found >= 2), 3).when((n == 1) & (F.length(first) >= 6) & (found == 1), 4)
+    within = F.when(F.col("level") == 3, -found.cast("double")).when(F.col("level") == 4, F.length("name").cast("double")).otherwise(0.0)
+    worded = pairs.withColumn("level", level).where("level is not null").select("mention_id", "name", "level", within.alias("within"))
+
+    best = F.min_by(F.struct("case_id", "level"), F.struct("level", "within", "case_id"))
+    return closest.unionByName(worded).join(names, "name").groupBy("mention_id").agg(best.alias("best")).select("mention_id", "best.*")
 
 
 def expand(queries: DataFrame, dictionary: Mapping[str, Sequence[str]] = D.SYNONYMS) -> DataFrame:
@@ -109,7 +125,7 @@ def learned_corrections(suggestions: DataFrame) -> DataFrame:
 
 def correct_queries(queries: DataFrame, **options) -> DataFrame:
     """Adds corrected_query and n_corrections; words that need none keep their form."""
-    spread = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("pos", "raw")).withColumn("word", F.regexp_replace("raw", r"[^\w]", ""))
+    spread = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("pos", "raw")).withColumn("word", F.regexp_replace("raw", X.GAP, ""))
     fixed = corrections(spread.where("word <> ''").select("word").distinct(), **options)
     joined = spread.join(fixed, "word", "left")
     changed = F.col("corrected").isNotNull() & (F.col("corrected") != F.col("word"))
@@ -119,13 +135,13 @@ def correct_queries(queries: DataFrame, **options) -> DataFrame:
 
 
 def did_you_mean(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """words (word) absent from vocabulary (token, n): the nearest word with the same two letters in front."""
+    """words (word) absent from vocabulary (token, n): the nearest word within two edits with the same two letters in front."""
     absent = words.select(F.lower("word").alias("word")).distinct().where(F.length("word") >= 3)
     absent = absent.join(vocabulary.select(F.col("token").alias("word")), "word", "left_anti")
-    known = vocabulary.where(F.length("token") >= 3).withColumn("two", F.substring("token", 1, 2))
-    pairs = absent.withColumn("two", F.substring("word", 1, 2)).join(known, "two").withColumn("edits", F.levenshtein("word", "token", 2)).where("edits between 0 and 2")
-    best = Window.partitionBy("word").orderBy("edits", F.desc("n"), "token")
-    return pairs.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").select("word", F.col("token").alias("suggestion"), "edits")
+    known = vocabulary.where(F.length("token") >= 3)
+    pairs = within_edits(absent.select("word", F.lit(2).alias("most")), known, same_start=2).join(known, "token")
+    best = F.min_by(F.struct(F.col("token").alias("suggestion"), "edits"), F.struct("edits", -F.col("n"), "token"))
+    return pairs.groupBy("word").agg(best.alias("best")).select("word", "best.*")
 
 
 def _holds(query: Column, words: Sequence[str]) -> Column:

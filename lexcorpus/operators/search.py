@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexcorpus.functions.text import BEGIN, END, GAP, LETTER, escaped, stem_of, stemmed, tokens, words_of
+from lexcorpus.functions import stem
+from lexcorpus.functions.text import BEGIN, END, GAP, LETTER, escaped, tokens, words_of
+from lexcorpus.operators.similarity import within_edits
 
 #: Distinct query terms up to which they are broadcast.
 SMALL = 100_000
@@ -26,15 +28,16 @@ class Query:
 
     op: str
     parts: tuple[Query, ...] = ()
-    test: object = None  # column expression, made when the query is compiled
+    test: object = None  # of a paragraph's text and words, or of a case's row; made when the query is compiled
     terms: tuple[str, ...] = field(default=())
     pattern: str = ""
+    words: tuple[str, ...] = ()  # every match of the pattern holds these words
 
     def __and__(self, other: Query) -> Query:
-        return Query("and", (self, other), terms=self.terms + other.terms, pattern=self.pattern)
+        return Query("and", (self, other), terms=self.terms + other.terms, pattern=self.pattern, words=self.words)
 
     def __or__(self, other: Query) -> Query:
-        return Query("or", (self, other), terms=self.terms + other.terms, pattern=self.pattern)
+        return Query("or", (self, other), terms=self.terms + other.terms, pattern=self.pattern, words=self.words)
 
     def __invert__(self) -> Query:
         return Query("not", (self,))  # what is excluded is no search term
@@ -44,47 +47,86 @@ class Query:
         return list(dict.fromkeys(self.terms))
 
 
-def _text(test, terms: Sequence[str], pattern: str) -> Query:
-    return Query("text", test=test, terms=tuple(terms), pattern=pattern)
+def _text(test, terms: Sequence[str], pattern: str, words: Sequence[str] = ()) -> Query:
+    return Query("text", test=test, terms=tuple(terms), pattern=pattern, words=tuple(words))
 
 
 def _matches(pattern: str):
-    return lambda text: F.coalesce(text.rlike("(?iu)" + pattern), F.lit(False))
+    return lambda text, words: F.coalesce(text.rlike("(?iu)" + pattern), F.lit(False))
+
+
+def _has(found: Column, each: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for w in each:
+        out = out & F.coalesce(F.array_contains(found, w), F.lit(False))
+    return out
+
+
+def _asked(words: str) -> list[str]:
+    """The words of an operand; one without any is refused, as it would find everything."""
+    each = words_of(words)
+    if not each:
+        raise ValueError(f"no word to look for in {words!r}")
+    return each
 
 
 def _whole(pattern: str) -> str:
     return BEGIN + pattern + END
 
 
-def term(words: str, english: bool = False) -> Query:
-    """Every word of `words` in one paragraph; with `english` words count as equal if their stems are."""
-    each = [stem_of(w) if english else w for w in words_of(words)]
+def _english(words: str, vocabulary: DataFrame) -> list[tuple[str, ...]]:
+    """For each word the forms that share its stem, none for a stop word; an operand of stop words alone is refused."""
+    each = stem.forms(vocabulary, _asked(words))
+    if not any(each):
+        raise ValueError(f"only stop words in {words!r}")
+    return each
+
+
+def term(words: str, vocabulary: DataFrame | None = None) -> Query:
+    """Every word of `words` in one paragraph.
+
+    With a vocabulary (token, stem) of the corpus the words are analysed as English: stop words are
+    left out, and each other word stands for all tokens with its stem.
+    """
+    plain = words.lower().split()
+    pattern = r"\s+".join(_whole(escaped(w)) for w in plain)
+    each = _asked(words)
+    if vocabulary is None:
+        return _text(lambda text, found: _has(found, each), plain, pattern, each)
+    forms = [f for f in _english(words, vocabulary) if f]
 
-    def test(text: Column) -> Column:
-        found = tokens(text)
-        found = F.transform(found, stemmed) if english else found
+    def test(text: Column, found: Column) -> Column:
         out = F.lit(True)
-        for w in each:
-            out = out & F.coalesce(F.array_contains(found, w), F.lit(False))
+        for some in forms:
+            out = out & F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, some))), F.lit(False))
         return out
 
-    plain = words.lower().split()
-    return _text(test, plain, r"\s+".join(_whole(escaped(w)) for w in plain))
+    return _text(test, plain, pattern, each)
 
 
-def phrase(words: str) -> Query:
-    each = words_of(words)
+def phrase(words: str, vocabulary: DataFrame | None = None) -> Query:
+    """Words one behind the other; with a vocabulary (token, stem) as English, where any word may stand for a stop word."""
+    each = _asked(words)
     plain = words.lower().split()
-    return _text(_matches(_whole(GAP.join(escaped(w) for w in each))), [words.lower(), *plain], r"\s+".join(escaped(w) for w in plain))
+    if vocabulary is not None:
+        forms = _english(words, vocabulary)
+        first = next(i for i, f in enumerate(forms) if f)
+        forms = forms[first : len(forms) - next(i for i, f in enumerate(reversed(forms)) if f)]
+        each = ["(?:" + "|".join(map(escaped, f)) + ")" if f else f"{LETTER}+" for f in forms]
+    else:
+        each = [escaped(w) for w in each]
+    return _text(_matches(_whole(GAP.join(each))), [words.lower(), *plain], r"\s+".join(escaped(w) for w in plain))
 
 
 def prefix(root: str) -> Query:
     root = root.rstrip("*!").lower()
+    _asked(root)
     return _text(_matches(BEGIN + escaped(root)), [root], rf"{BEGIN}{escaped(root)}\S*")
 
 
 def wildcard(word: str) -> Query:
     """Each ? stands for exactly one letter of a whole word."""
+    _asked(word)
     inner = _whole(LETTER.join(escaped(p) for p in word.lower().split("?")))
     return _text(_matches(inner), [word.lower()], inner)
 
@@ -92,8 +134,9 @@ def wildcard(word: str) -> Query:
 def at_least(n: int, word: str) -> Query:
     if not 1 <= n <= 50:
         raise ValueError("n must be from 1 to 50")
+    _asked(word)
     pattern = _whole(escaped(word.lower()))
-    return _text(lambda text: F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)) >= n, F.lit(False)), [word.lower()], pattern)
+    return _text(lambda text, words: F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)) >= n, F.lit(False)), [word.lower()], pattern)
 
 
 def _near(left: Query, right: Query, n: int, both_ways: bool) -> Query:
@@ -102,11 +145,11 @@ def _near(left: Query, right: Query, n: int, both_ways: bool) -> Query:
     ways = [(left, right), (right, left)] if both_ways else [(left, right)]
     patterns = [rf"{a.pattern}(?:\s+\S+){{0,{n - 1}}}\s+{b.pattern}" for a, b in ways]
 
-    def test(text: Column) -> Column:
+    def test(text: Column, words: Column) -> Column:
         out = F.lit(False)
         for p in patterns:
-            out = out | _matches(p)(text)
-        return out
+            out = out | _matches(p)(text, words)
+        return _has(words, left.words + right.words) & out  # the pattern runs only where the words are
 
     close = Query("text", test=test)
     return Query("and", (close, Query("and", (left, right))), terms=left.terms + right.terms, pattern=left.pattern)
@@ -131,25 +174,33 @@ def _in_paragraph(query: Query):
         return query.test
     parts = [_in_paragraph(p) for p in query.parts]
     if query.op == "and":
-        return lambda text: parts[0](text) & parts[1](text)
+        return lambda text, words: parts[0](text, words) & parts[1](text, words)
     if query.op == "or":
-        return lambda text: parts[0](text) | parts[1](text)
+        return lambda text, words: parts[0](text, words) | parts[1](text, words)
     if query.op == "not":
-        return lambda text: ~parts[0](text)
+        return lambda text, words: ~parts[0](text, words)
     raise ValueError("fields of a case have no place within a paragraph")
 
 
 def same_paragraph(left: Query, right: Query) -> Query:
     """Both operands, which may be compound, within one paragraph."""
     a, b = _in_paragraph(left), _in_paragraph(right)
-    return Query("text", test=lambda text: a(text) & b(text), terms=left.terms + right.terms, pattern=left.pattern)
+    return Query("text", test=lambda text, words: a(text, words) & b(text, words), terms=left.terms + right.terms, pattern=left.pattern)
+
+
+def _value(value: str) -> str:
+    if not value.strip():
+        raise ValueError("a field needs a value to look for")
+    return value.lower()
 
 
 def field_contains(column: str, value: str) -> Query:
-    return Query("case", test=lambda: F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value.lower())), F.lit(False)))
+    value = _value(value)
+    return Query("case", test=lambda: F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value)), F.lit(False)))
 
 
 def array_contains_like(column: str, value: str) -> Query:
+    value = _value(value)
     return Query("case", test=lambda: F.coalesce(F.exists(column, lambda x: F.contains(F.lower(x), F.lit(value.lower()))), F.lit(False)))
 
 
@@ -158,12 +209,14 @@ def year_is(year: int) -> Query:
 
 
 def name_has(column: str, words: str) -> Query:
-    return Query("case", test=lambda: term(words).test(F.coalesce(F.col(column), F.lit(""))))
+    each = _asked(words)
+    return Query("case", test=lambda: _has(tokens(F.col(column)), each))
 
 
 def act_contains(column: str, value: str) -> Query:
     """`column` of some row of the case's acts holds the value."""
-    return Query("act", test=lambda: F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value.lower())), F.lit(False)))
+    value = _value(value)
+    return Query("act", test=lambda: F.coalesce(F.contains(F.lower(F.col(column)), F.lit(value)), F.lit(False)))
 
 
 def search(query: Query, cases: DataFrame, paras: DataFrame, acts: DataFrame | None = None) -> DataFrame:
@@ -187,8 +240,8 @@ def search(query: Query, cases: DataFrame, paras: DataFrame, acts: DataFrame | N
 
     walk(query)
     found = cases.select("case_id", *[q.test().alias(f"__case{i}") for i, q in enumerate(leaves["case"])])
-    tests = [q.test(F.col("text")).alias(f"__text{i}") for i, q in enumerate(leaves["text"])]
-    marked = paras.select("case_id", *tests)
+    tests = [q.test(F.col("text"), F.col("__words")).alias(f"__text{i}") for i, q in enumerate(leaves["text"])]
+    marked = paras.select("case_id", "text", tokens(F.col("text")).alias("__words")).select("case_id", *tests)  # words are cut once for all leaves
     any_ = F.lit(False)
     for i in range(len(tests)):
         any_ = any_ | F.col(f"__text{i}")
@@ -325,24 +378,8 @@ def search_many(queries: DataFrame, paras: DataFrame, share: float = 1.0) -> Dat
 
 
 def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """queries (query_id, term) x vocabulary (token): words within 0, 1 or 2 edits by the term's length.
-
-    Distinct terms meet distinct words that have a deletion in common: two words within two edits
-    share a form with at most two letters taken out, so this is an equi-join.
-    """
-
-    def forms(word: Column, edits: int) -> Column:
-        out = F.array(word)
-        for _ in range(edits):
-            cut = F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
-            out = F.array_distinct(F.concat(out, F.flatten(cut)))
-        return out
-
-    edits = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    asked = queries.select("query_id", F.lower("term").alias("term")).withColumn("most", edits)
-    left = asked.select("*", F.explode(forms(F.col("term"), 2)).alias("form"))
-    # A word longer than the longest term by more than two letters is within two edits of none.
-    longest = asked.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
-    right = vocabulary.where(F.length("token") <= longest + 2).select("token", F.explode(forms(F.col("token"), 2)).alias("form"))
-    pairs = left.join(right, "form").select("query_id", "term", "most", "token").distinct()
-    return pairs.withColumn("edits", F.levenshtein("term", "token")).where(F.col("edits") <= F.col("most")).select("query_id", "term", "token", "edits")
+    """queries (query_id, term) x vocabulary (token): words within 0, 1 or 2 edits by the term's length."""
+    most = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
+    asked = queries.select("query_id", F.lower("term").alias("term")).withColumn("most", most)
+    near = within_edits(asked.select(F.col("term").alias("word"), "most"), vocabulary)
+    return asked.join(near.withColumnRenamed("word", "term"), ["term", "most"]).select("query_id", "term", "token", "edits")

@@ -257,12 +257,12 @@ for _a, _full in D.ABBREVIATIONS.items():
     _EXPANDED = rf"regexp_replace({_EXPANDED}, '\b{_a}\b', '{_full}', 'g')"
 register("x12_abbreviations", _Q + f" SELECT query_id, {_EXPANDED} AS expanded FROM q")(lambda f: _asked(f).select("query_id", X.expand_abbreviations(F.col("query")).alias("expanded")))
 register("x13_spelling")(lambda f: query_tables.correct_queries(_asked(f)).select("query_id", "corrected_query", "n_corrections"))
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\pL\\pN_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\pL\\pM\\pN_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
 register("x14_similarity", f"n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT p_name, {_GRAMS.format('p_name')} AS g FROM n) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 6) AS similarity FROM m a JOIN m b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1]")(
     lambda f: (lambda n: n.select(F.col("p_name").alias("a"), F.split("p_name", " ")[0].alias("k")).join(n.select(F.col("p_name").alias("b"), F.split("p_name", " ")[0].alias("k")), "k"))(f.raw("part").select("p_name").distinct()).select("a", "b", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 )
 _WORDS = [("thatinn",), ("rewhh",), ("oof",), ("wiht",), ("zzzzzz",), ("the",)]
-register("x15_did_you_mean", f"""v AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS token FROM paras) WHERE length(token) >= 3 GROUP BY 1),
+register("x15_did_you_mean", f"""v AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM paras) WHERE length(token) >= 3 GROUP BY 1),
 w AS (SELECT * FROM (VALUES {', '.join(f"('{x}')" for x, in _WORDS)}) x(word)), r AS (SELECT word, token AS suggestion, CAST(levenshtein(word, token) AS INT) AS edits, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, token), n DESC, token) AS k
 FROM w JOIN v ON substring(word, 1, 2) = substring(token, 1, 2) WHERE levenshtein(word, token) <= 2 AND word NOT IN (SELECT token FROM v)) SELECT word, suggestion, edits FROM r WHERE k = 1""")(lambda f: query_tables.did_you_mean(f.spark.createDataFrame(_WORDS, "word string"), X.token_table(f.paras).groupBy("token").agg(F.count("*").alias("n"))))
 register("x16_year", "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INT) AS year FROM orders")(lambda f: f.raw("orders").select("o_orderkey", X.year_of(F.expr("CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyy') WHEN 1 THEN date_format(o_orderdate, 'd/M/yyyy') ELSE date_format(o_orderdate, 'yyyy-M-d') END")).alias("year")))
@@ -274,15 +274,7 @@ c AS (SELECT *, CASE WHEN output_type IN ('table', 'law') THEN 0 ELSE 0.3 END +
 SELECT query_id, output_type, CAST(round(CASE WHEN contains(v, 'what is') THEN least(s, 0.5) ELSE s END, 2) AS DOUBLE) AS confidence, {_STUDY} AS study_type FROM c""")(lambda f: query_tables.intents(_asked(f)).select("query_id", "output_type", "confidence", "study_type"))
 register("x18_enrichment")(lambda f: query_tables.enrich(_asked(f)).select("query_id", "corrected_query", "match_type", "rank_score", F.array_join("synonyms", ",").alias("synonyms"), F.size("sections").alias("n_sections")))
 register("x19_chunks")(lambda f: ingest.chunk_documents(f.cases.select(F.col("case_id").alias("document_id"), F.col("judgment").alias("text")), separator="\n"))
-register("x21_tokens", "SELECT case_id, token, count(*) AS n FROM (SELECT case_id, unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS token FROM paras) WHERE token <> '' GROUP BY ALL")(lambda f: X.token_table(f.paras, "case_id").groupBy("case_id", "token").agg(F.count("*").alias("n")))
-_STOP = ", ".join(f"'{w}'" for w in D.FUNCTION_WORDS)
-register(
-    "x21_english_tokens",
-    f"""w AS (SELECT case_id, unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS w FROM paras),
-s AS (SELECT case_id, regexp_replace(regexp_replace(regexp_replace(w, '([^aeiou].)ies$', '\\1y'), '([a-z][a-z][a-z])(?:ing|ed|es)$', '\\1'), '([^su])s$', '\\1') AS token
-FROM w WHERE w <> '' AND w NOT IN ({_STOP}))
-SELECT case_id, token, count(*) AS n FROM s GROUP BY ALL""",
-)(lambda f: X.english_tokens(f.paras, "case_id").groupBy("case_id", "token").agg(F.count("*").alias("n")))
+register("x21_tokens", "SELECT case_id, token, count(*) AS n FROM (SELECT case_id, unnest(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM paras) WHERE token <> '' GROUP BY ALL")(lambda f: X.token_table(f.paras, "case_id").groupBy("case_id", "token").agg(F.count("*").alias("n")))
 
 # Query tables
 _MENTIONS = [(1, "small rng"), (2, "red widget"), (3, "blue"), (4, "what was held in the large ring"), (5, "court order"), (6, "widget")]

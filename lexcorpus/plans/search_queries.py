@@ -29,20 +29,20 @@ def _found(query, lists: bool = False):
 
 
 _BY_PARA = "SELECT DISTINCT case_id FROM paras WHERE {}"
-_TERM = "list_contains(string_split_regex(lower(text), '[^\\pL\\pN_]+'), '{}')"
+_TERM = "list_contains(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+'), '{}')"
 _LEAVES = {
     "p1_term": (term("the of"), f"{_TERM.format('the')} AND {_TERM.format('of')}"),
-    "p2_phrase": (phrase("of the"), r"regexp_matches(text, '(^|[^\pL\pN_])of[^\pL\pN_]+the($|[^\pL\pN_])', 'i')"),
-    "p3_prefix": (prefix("thea*"), r"regexp_matches(text, '(^|[^\pL\pN_])thea', 'i')"),
-    "p4_wildcard": (wildcard("th?n"), r"regexp_matches(text, '(^|[^\pL\pN_])th[\pL\pN_]n($|[^\pL\pN_])', 'i')"),
-    "p5_at_least": (at_least(3, "the"), r"len(list_filter(string_split_regex(lower(text), '[^\pL\pN_]+'), lambda w: w = 'the')) >= 3"),
+    "p2_phrase": (phrase("of the"), r"regexp_matches(text, '(^|[^\pL\pM\pN_])of[^\pL\pM\pN_]+the($|[^\pL\pM\pN_])', 'i')"),
+    "p3_prefix": (prefix("thea*"), r"regexp_matches(text, '(^|[^\pL\pM\pN_])thea', 'i')"),
+    "p4_wildcard": (wildcard("th?n"), r"regexp_matches(text, '(^|[^\pL\pM\pN_])th[\pL\pM\pN_]n($|[^\pL\pM\pN_])', 'i')"),
+    "p5_at_least": (at_least(3, "the"), r"len(list_filter(string_split_regex(lower(text), '[^\pL\pM\pN_]+'), lambda w: w = 'the')) >= 3"),
     "p9_same_paragraph": (same_paragraph(term("the"), term("with")), f"{_TERM.format('the')} AND {_TERM.format('with')}"),
 }
 _LEAVES["p9_compound_operands"] = (
     same_paragraph(term("the") & ~term("with"), phrase("of the") | prefix("thea*")),
     f"{_TERM.format('the')} AND NOT {_TERM.format('with')} AND (" + _LEAVES["p2_phrase"][1] + " OR " + _LEAVES["p3_prefix"][1] + ")",
 )
-_LEAVES["p1_accented_term"] = (term("NOCH Größe") | term("für") | phrase("É de"), f"{_TERM.format('für')} OR ({_TERM.format('noch')} AND {_TERM.format('größe')}) OR regexp_matches(text, '(^|[^\\pL\\pN_])é[^\\pL\\pN_]+de($|[^\\pL\\pN_])', 'i')")
+_LEAVES["p1_accented_term"] = (term("NOCH Größe") | term("für") | phrase("É de"), f"{_TERM.format('für')} OR ({_TERM.format('noch')} AND {_TERM.format('größe')}) OR regexp_matches(text, '(^|[^\\pL\\pM\\pN_])é[^\\pL\\pM\\pN_]+de($|[^\\pL\\pM\\pN_])', 'i')")
 for _name, (_query, _where) in _LEAVES.items():
     register(_name, _BY_PARA.format(_where))(_found(_query))
 
@@ -51,18 +51,18 @@ _CLOSE = "SELECT case_id FROM paras GROUP BY case_id HAVING bool_or({}) AND bool
 
 
 def _within(a: str, b: str, n: int) -> str:
-    return rf"regexp_matches(text, '(^|[^\pL\pN_]){a}(?:\s+\S+){{0,{n - 1}}}\s+{b}($|[^\pL\pN_])', 'i')"
+    return rf"regexp_matches(text, '(^|[^\pL\pM\pN_]){a}(?:\s+\S+){{0,{n - 1}}}\s+{b}($|[^\pL\pM\pN_])', 'i')"
 
 
 register("p6_within", _CLOSE.format(_within(_A, _B, 5)))(_found(within(term("the"), term("of"), 5)))
 register("p7_near", _CLOSE.format(f"{_within(_A, _B, 3)} OR {_within(_B, _A, 3)}"))(_found(near(term("the"), term("of"), 3)))
 register("p8_same_sentence", _CLOSE.format(f"{_within(_A, _B, 30)} OR {_within(_B, _A, 30)}"))(_found(same_sentence(term("the"), term("of"))))
-register("p10_operand_patterns", r"SELECT case_id FROM paras GROUP BY case_id HAVING bool_or(regexp_matches(text, '(^|[^\pL\pN_])th\S*(?:\s+\S+){0,1}\s+of\s+the', 'i')) AND bool_or(regexp_matches(text, '(^|[^\pL\pN_])th', 'i')) AND bool_or(regexp_matches(text, '(^|[^\pL\pN_])of[^\pL\pN_]+the($|[^\pL\pN_])', 'i'))")(_found(within(prefix("th*"), phrase("of the"), 2)))
+register("p10_operand_patterns", r"SELECT case_id FROM paras GROUP BY case_id HAVING bool_or(regexp_matches(text, '(^|[^\pL\pM\pN_])th\S*(?:\s+\S+){0,1}\s+of\s+the', 'i')) AND bool_or(regexp_matches(text, '(^|[^\pL\pM\pN_])th', 'i')) AND bool_or(regexp_matches(text, '(^|[^\pL\pM\pN_])of[^\pL\pM\pN_]+the($|[^\pL\pM\pN_])', 'i'))")(_found(within(prefix("th*"), phrase("of the"), 2)))
 
 _TERMS = ("the", "of", "and", "that", "with", "thatin", "rewh")
 _MANY = "SELECT * FROM (VALUES " + ", ".join(f"({i}, ['{a}', '{b}', '{c}'])" for i, (a, b, c) in enumerate(zip(_TERMS, _TERMS[1:] + _TERMS[:1], _TERMS[3:] + _TERMS[:3], strict=True))) + ") q(query_id, terms)"
 _MET = f"""q AS ({_MANY}), t AS (SELECT query_id, len(terms) AS k, unnest(terms) AS token FROM q),
-h AS (SELECT DISTINCT case_id, unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS token FROM paras)
+h AS (SELECT DISTINCT case_id, unnest(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM paras)
 SELECT query_id, case_id, count(*) AS met FROM h JOIN t USING (token) GROUP BY query_id, case_id, k HAVING count(*) >= """
 
 
@@ -77,7 +77,7 @@ register("p13_minimum_match", _MET + "greatest(1, floor(k * 0.6))")(lambda f: se
 
 @register(
     "p12_fuzzy_term",
-    """v AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS token FROM paras),
+    """v AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+')) AS token FROM paras),
 q AS (SELECT * FROM (VALUES (1, 'thatin'), (2, 'rewh'), (3, 'of')) x(query_id, term))
 SELECT query_id, term, token, CAST(levenshtein(term, token) AS INT) AS edits FROM q, v
 WHERE token <> '' AND levenshtein(term, token) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END""",
@@ -121,15 +121,15 @@ register("b1_and", f"SELECT case_id FROM ({_THE} INTERSECT {_WITH})")(lambda f:
 register("b2_or", f"SELECT case_id FROM ({_THE} UNION {_WITH})")(lambda f: search.or_(*_sets(f)))
 register("b3_not", f"SELECT case_id FROM cases WHERE case_id NOT IN ({_WITH})")(lambda f: search.not_(_sets(f)[1], f.cases))
 _COMPOSED = (phrase("of the") & term("and") | prefix("rewh*")) & ~field_contains("court", "src3") & ~term("thatin")
-_COMPOSED_SQL = rf"""x AS (SELECT case_id, bool_or(regexp_matches(text, '(^|[^\pL\pN_])of[^\pL\pN_]+the($|[^\pL\pN_])', 'i')) AS a, bool_or({_TERM.format("and")}) AS b,
-bool_or(regexp_matches(text, '(^|[^\pL\pN_])rewh', 'i')) AS c, bool_or({_TERM.format("thatin")}) AS d,
-count_if(regexp_matches(text, '(^|[^\pL\pN_])of[^\pL\pN_]+the($|[^\pL\pN_])', 'i') OR {_TERM.format("and")} OR regexp_matches(text, '(^|[^\pL\pN_])rewh', 'i') OR {_TERM.format("thatin")}) AS matched, count(*) AS total FROM paras GROUP BY case_id)
+_COMPOSED_SQL = rf"""x AS (SELECT case_id, bool_or(regexp_matches(text, '(^|[^\pL\pM\pN_])of[^\pL\pM\pN_]+the($|[^\pL\pM\pN_])', 'i')) AS a, bool_or({_TERM.format("and")}) AS b,
+bool_or(regexp_matches(text, '(^|[^\pL\pM\pN_])rewh', 'i')) AS c, bool_or({_TERM.format("thatin")}) AS d,
+count_if(regexp_matches(text, '(^|[^\pL\pM\pN_])of[^\pL\pM\pN_]+the($|[^\pL\pM\pN_])', 'i') OR {_TERM.format("and")} OR regexp_matches(text, '(^|[^\pL\pM\pN_])rewh', 'i') OR {_TERM.format("thatin")}) AS matched, count(*) AS total FROM paras GROUP BY case_id)
 SELECT case_id, CAST(matched AS BIGINT) AS matched, total FROM x JOIN cases USING (case_id) WHERE (a AND b OR c) AND NOT contains(court, 'src3') AND NOT d"""
 register("b4_composition", _COMPOSED_SQL)(lambda f: search.search(_COMPOSED, f.cases, f.paras))
 register("a3_matched_paragraphs", _COMPOSED_SQL)(lambda f: search.search(_COMPOSED, f.cases, f.paras))
 
 
-@register("b5_search_terms", f"SELECT lower(term) AS term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS term FROM paras) WHERE term IN ('of', 'the', 'and', 'rewh') GROUP BY 1")
+@register("b5_search_terms", f"SELECT lower(term) AS term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\pL\\pM\\pN_]+')) AS term FROM paras) WHERE term IN ('of', 'the', 'and', 'rewh') GROUP BY 1")
 def search_terms(f: Fixtures) -> DataFrame:
     wanted = [t for t in _COMPOSED.search_terms() if " " not in t]
     return X.token_table(f.paras).where(F.col("token").isin(wanted)).groupBy(F.col("token").alias("term")).agg(F.count("*").alias("n"))
