@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,19 @@ def scored(stats: DataFrame) -> DataFrame:
     return made.withColumn("status", P.score_status(F.col("prominence"), F.col("most_common")))
 
 
+def edge_kind() -> Column:
+    return F.coalesce(F.when(F.col("relationship") != "", F.col("relationship")), F.lit("cited"))
+
+
+def edge_confidence() -> Column:
+    return F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 0.6).otherwise(F.col("confidence"))
+
+
+def no_prominence() -> Column:
+    """The prominence of a target that is not named."""
+    return P.prominence(F.lit(0), F.lit(2), F.lit("cited"), F.lit(0.5))
+
+
 def precedent_status(cases: DataFrame, cites: DataFrame, statistics_of: DataFrame | None = None) -> DataFrame:
     """case_id, status, strength, label, treatment_counts and citing_count of every case.
 
@@ -40,12 +53,14 @@ def precedent_status(cases: DataFrame, cites: DataFrame, statistics_of: DataFram
     """
     scores = scored(statistics(cites if statistics_of is None else statistics_of)).select(F.col("target_citation").alias("target"), "prominence")
     groups = cites.groupBy("source_case_id", "target_citation", "relationship", "confidence").agg(F.count("*").alias("n"))
-    kind = F.coalesce(F.when(F.col("relationship") != "", F.col("relationship")), F.lit("cited"))
-    sure = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 0.6).otherwise(F.col("confidence"))
+    kind, sure = edge_kind(), edge_confidence()
     known = groups.where(F.col("target_citation").isNotNull()).join(scores, F.col("target_citation") == F.col("target"), "left").select("source_case_id", "n", kind.alias("kind"), sure.alias("sure"), "prominence")
-    none = P.prominence(F.lit(0), F.lit(2), F.lit("cited"), F.lit(0.5))
-    unknown = groups.where(F.col("target_citation").isNull()).select("source_case_id", "n", kind.alias("kind"), sure.alias("sure"), none.alias("prominence"))
-    edges = known.unionByName(unknown)
+    unknown = groups.where(F.col("target_citation").isNull()).select("source_case_id", "n", kind.alias("kind"), sure.alias("sure"), no_prominence().alias("prominence"))
+    return folded_status(cases, known.unionByName(unknown))
+
+
+def folded_status(cases: DataFrame, edges: DataFrame) -> DataFrame:
+    """Status of every case from edges (source_case_id, n, kind, sure, prominence of what is cited)."""
     kinds = edges.groupBy("source_case_id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("prominence") * P.modifier(F.col("kind")) * F.col("n")).alias("score"), F.sum(F.col("sure") * F.col("n")).alias("sure"))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
     folded = kinds.groupBy(F.col("source_case_id").alias("case_id")).agg(F.sum("n").alias("total"), F.sum("groups").alias("citing_count"), F.sum("score").alias("score"), F.sum("sure").alias("sure"), of("overruled").alias("overruled"), of("approved").alias("approved"), of("followed").alias("followed"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("treatment_counts"))
@@ -75,6 +90,13 @@ def validity(cases: DataFrame, cites: DataFrame) -> DataFrame:
     return joined.select("case_id", status.alias("validity"), "overruled_by", F.coalesce("cited_by", F.lit(0)).alias("cited_by"))
 
 
+def validity_of(asked: DataFrame, cases: DataFrame, cites: DataFrame) -> DataFrame:
+    """The same for the cases asked for (case_id); one that the corpus does not hold is unknown."""
+    told = validity(cases, cites.join(asked.select(F.col("case_id").alias("cited_case_id")).distinct(), "cited_case_id", "left_semi"))
+    found = asked.select("case_id").join(told, "case_id", "left")
+    return found.withColumns({"validity": F.coalesce("validity", F.lit("unknown")), "cited_by": F.coalesce("cited_by", F.lit(0))})
+
+
 def _ranked(edges: DataFrame, key: str, order: Sequence, n: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 

@@ -84,6 +84,35 @@ SELECT case_id, CASE WHEN overruled > 0 THEN 'overruled' WHEN followed + affirme
 CASE WHEN overruled > 0 THEN 0 WHEN followed + affirmed + distinguished + doubted = 0 THEN 50 ELSE CAST(trunc(least(100, 100.0 * (followed + affirmed) / (followed + affirmed + 1.5 * (distinguished + doubted)))) AS INT) END AS strength, scanned, {", ".join(_PHRASES)} FROM c""")(lambda f: citations.treatment_status(f.cites, f.cases, _PHRASES).drop("label", "top_citing"))
 
 
+# The same with the real phrases, which the judgments get in place of common words, and with label and listed cases.
+_EVERY_PHRASE = [p for some in D.TREATMENTS.values() for p in some]
+_GIVEN = "CASE CAST(case_id AS BIGINT) % 50 " + " ".join(f"WHEN {i} THEN ' {p} '" for i, p in enumerate(_EVERY_PHRASE)) + " ELSE ' and ' END"
+_TREATED = f"replace(replace(replace(judgment, ' and ', {_GIVEN}), ' und ', {_GIVEN}), ' de ', {_GIVEN})"
+_CLASSES = tuple(D.TREATMENTS)
+_LATER = "{0} || ' later case' || CASE WHEN {0} > 1 THEN 's' ELSE '' END"
+_COUNTED = ", ".join("CAST(" + " + ".join(f"(length(near) - length(replace(near, '{p}', ''))) / {len(p)}" for p in some) + f" AS BIGINT) AS {c}" for c, some in D.TREATMENTS.items())
+register(
+    "a10_treatment_labels",
+    f"""j AS (SELECT case_id, case_name, {_TREATED} AS judgment FROM cases),
+w AS (SELECT cited_case_id, source_case_id, lower({_NEAR}) AS near FROM cites JOIN (SELECT case_id AS cited_case_id, case_name AS cited_name FROM j) USING (cited_case_id)
+ JOIN (SELECT case_id AS source_case_id, judgment FROM j WHERE length(judgment) > 0) USING (source_case_id)),
+c AS (SELECT cited_case_id, source_case_id, {_COUNTED} FROM w),
+t AS (SELECT cited_case_id AS case_id, count(*) AS scanned, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _CLASSES)} FROM c GROUP BY 1),
+d AS (SELECT DISTINCT cited_case_id AS case_id, source_case_id, CASE greatest({", ".join(_CLASSES)}) {" ".join(f"WHEN {c} THEN '{c}'" for c in _CLASSES)} END AS treatment FROM c WHERE {" + ".join(_CLASSES)} > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY source_case_id) AS k FROM d),
+l AS (SELECT case_id, string_agg(source_case_id || ':' || treatment, ',' ORDER BY k) AS top_citing FROM r WHERE k <= 10 GROUP BY 1)
+SELECT case_id, scanned, top_citing, CASE WHEN overruled > 0 THEN 'Overruled in ' || {_LATER.format("overruled")}
+ WHEN followed + affirmed > 0 AND distinguished + doubted = 0 THEN 'Good law — followed in ' || {_LATER.format("(followed + affirmed)")}
+ WHEN followed + affirmed > 0 THEN 'Generally followed (' || (followed + affirmed) || '×) but distinguished in some cases (' || distinguished || '×)'
+ WHEN distinguished > 0 THEN 'Distinguished in ' || {_LATER.format("distinguished")} || ' — verify applicability'
+ WHEN doubted > 0 THEN 'Doubted in ' || {_LATER.format("doubted")} || ' — treat with caution' ELSE 'No later treatment found — status unknown' END AS label FROM t LEFT JOIN l USING (case_id)""",
+)(
+    lambda f: citations.treatment_status(f.cites, f.cases.withColumn("judgment", F.expr(_TREATED))).select(
+        "case_id", "scanned", F.array_join(F.transform("top_citing", lambda x: F.concat_ws(":", x["source_case_id"], x["treatment"])), ",").alias("top_citing"), "label"
+    )
+)
+
+
 @register("j10_citation_contexts", """e AS (SELECT source_case_id, target_citation, cited_case_id, relationship, confidence, created_at, CASE WHEN CAST(source_case_id AS BIGINT) % 2 = 0 THEN 'as held in ' || target_citation || ', the claim is upheld by this court. More.' END AS context_sentence,
  source_case_id || '_' || (length(target_citation) % 5) AS paragraph_id FROM cites),
 r AS (SELECT e.*, para_no, CAST(row_number() OVER (PARTITION BY source_case_id ORDER BY para_no NULLS LAST, target_citation, created_at, cited_case_id NULLS LAST, relationship, confidence) AS INT) AS rank FROM e LEFT JOIN paras USING (paragraph_id))
@@ -340,7 +369,6 @@ register("a6_corpus_counts", "SELECT (SELECT count(*) FROM cases) AS n_cases, (S
 )
 
 # Sources and incremental jobs
-register("s1_load_tables", "SELECT case_id, case_name, court FROM cases")(lambda f: f.cases.select("case_id", "case_name", "court"))
 register("s3_upsert", "SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r FROM lineitem) WHERE r = 1")(
     lambda f: (lambda rows: tables.upsert(rows.where("v <= 3"), rows.where("v > 3"), "k", F.col("v")))(f.raw("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("v")))
 )
