@@ -9,7 +9,7 @@ from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import prominence as P
 from lexcorpus.functions import text as X
 from lexcorpus.functions import treatment as T
-from lexcorpus.operators import citations, evidence, facets, query_tables, search, vectors
+from lexcorpus.operators import citations, evidence, facets, phrase_tables, query_tables, search, vectors
 from lexcorpus.plans.fixtures import Fixtures, oracle
 from lexcorpus.sources import ingest, tables
 from lexcorpus.streaming import incremental
@@ -278,13 +278,31 @@ _asked = lambda f: f.log.select("query_id", F.expr(_QUERY).alias("query"))  # no
 _Q = f"q AS (SELECT query_id, {_QUERY} AS query FROM query_log)"
 register("x10_section_references", _Q + r""", r AS (SELECT query_id, regexp_extract_all(query, '(?i)\bsection\s+(\d{1,4}[a-zA-Z]?)\b', 1) || regexp_extract_all(query, '(?i)\bs\.?\s+(\d{1,4}[a-zA-Z]?)\b', 1) || regexp_extract_all(query, '(?i)\barticle\s+(\d{1,3})\b', 1) || regexp_extract_all(query, '(?i)\bart\.?\s+(\d{1,3})\b', 1) AS s FROM q)
 SELECT query_id, array_to_string(s, ',') AS sections FROM r""")(lambda f: _asked(f).select("query_id", F.array_join(X.section_references(F.col("query")), ",").alias("sections")))
+
+
+def _with_phrases(f: Fixtures) -> DataFrame:
+    """The canonical names of each query's phrases, which come from a table."""
+    table = f.spark.createDataFrame([(p, c) for p, (c, *_) in D.PHRASES.items()], "phrase string, canonical string")
+    found = phrase_tables.phrases_in(_asked(f), table, "query_id", "query")
+    return _asked(f).select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce(F.array_join("found.canonical", ","), F.lit("")).alias("phrases"))
+
+
+def _with_synonyms(f: Fixtures) -> DataFrame:
+    """The sorted synonyms of the keys that each query holds, which come from a table."""
+    table = f.spark.createDataFrame([(k, list(v)) for k, v in D.SYNONYMS.items()], "entry string, synonyms array<string>")
+    found = phrase_tables.keys_within(_asked(f), table, "query_id").groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("synonyms")))).alias("s"))
+    return _asked(f).select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce(F.array_join("s", ","), F.lit("")).alias("synonyms"))
+
+
 _LONGEST = sorted(D.PHRASES, key=lambda p: (-len(p), p))
 _CANON = "CASE p " + " ".join(f"WHEN '{p}' THEN '{c}'" for p, (c, *_x) in D.PHRASES.items()) + " END"
-register("x11_legal_phrases", _Q + rf", r AS (SELECT query_id, regexp_extract_all(lower(query), '\b({'|'.join(_LONGEST)})\b', 1) AS s FROM q) SELECT query_id, array_to_string(list_transform(s, lambda p: {_CANON}), ',') AS phrases FROM r")(lambda f: _asked(f).select("query_id", F.array_join(X.legal_phrases(F.col("query"))["canonical"], ",").alias("phrases")))
+register("x11_legal_phrases", _Q + rf", r AS (SELECT query_id, regexp_extract_all(lower(query), '\b({'|'.join(_LONGEST)})\b', 1) AS s FROM q) SELECT query_id, array_to_string(list_transform(s, lambda p: {_CANON}), ',') AS phrases FROM r")(lambda f: _with_phrases(f))
 _EXPANDED = "lower(query)"
 for _a, _full in D.ABBREVIATIONS.items():
     _EXPANDED = rf"regexp_replace({_EXPANDED}, '\b{_a}\b', '{_full}', 'g')"
-register("x12_abbreviations", _Q + f" SELECT query_id, {_EXPANDED} AS expanded FROM q")(lambda f: _asked(f).select("query_id", X.expand_abbreviations(F.col("query")).alias("expanded")))
+register("x12_abbreviations", _Q + f" SELECT query_id, {_EXPANDED} AS expanded FROM q")(
+    lambda f: phrase_tables.replaced_words(_asked(f), f.spark.createDataFrame(list(D.ABBREVIATIONS.items()), "word string, replacement string"), "query_id", "query").withColumnRenamed("replaced", "expanded")
+)
 register("x13_spelling")(lambda f: query_tables.correct_queries(_asked(f)).select("query_id", "corrected_query", "n_corrections"))
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\pL\\pM\\pN_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
 register("x14_similarity", f"n AS (SELECT DISTINCT p_name FROM part), m AS (SELECT p_name, {_GRAMS.format('p_name')} AS g FROM n) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)) AS DOUBLE), 6) AS similarity FROM m a JOIN m b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1]")(
@@ -315,7 +333,7 @@ def resolve(f: Fixtures) -> DataFrame:
     return query_tables.resolve_names(f.spark.createDataFrame(_MENTIONS, "mention_id int, mention string"), names)
 
 
-register("j8_expansion", _Q + ", s AS (SELECT query_id, " + " || ".join(f"CASE WHEN contains(lower(query), '{k}') THEN [{', '.join(chr(39) + x + chr(39) for x in v)}] ELSE [] END" for k, v in D.SYNONYMS.items()) + " AS s FROM q) SELECT query_id, array_to_string(list_sort(list_distinct(s)), ',') AS synonyms FROM s")(lambda f: query_tables.expand(_asked(f)).select("query_id", F.array_join("synonyms", ",").alias("synonyms")))
+register("j8_expansion", _Q + ", s AS (SELECT query_id, " + " || ".join(f"CASE WHEN contains(lower(query), '{k}') THEN [{', '.join(chr(39) + x + chr(39) for x in v)}] ELSE [] END" for k, v in D.SYNONYMS.items()) + " AS s FROM q) SELECT query_id, array_to_string(list_sort(list_distinct(s)), ',') AS synonyms FROM s")(lambda f: _with_synonyms(f))
 _SHORT = "CASE CAST(case_id AS BIGINT) % 4 WHEN 0 THEN ' SC ' WHEN 1 THEN 'delhi hc' WHEN 2 THEN 'NGT' ELSE ' Other Court ' END"
 register("j9_aliases", "SELECT case_id, CASE CAST(case_id AS BIGINT) % 4 WHEN 0 THEN 'Supreme Court of India' WHEN 1 THEN 'High Court of Delhi' WHEN 2 THEN 'National Green Tribunal' ELSE 'Other Court' END AS court FROM cases")(lambda f: f.cases.select("case_id", X.resolved(F.expr(_SHORT), D.COURT_ALIASES).alias("court")))
 register("a12_log_statistics", "SELECT count(*) AS total, CAST(count_if(success) AS BIGINT) AS successes, round(count_if(success) / CAST(count(*) AS DOUBLE), 6) AS success_rate FROM query_log")(lambda f: query_tables.log_statistics(f.log).withColumn("success_rate", F.round("success_rate", 6)))
