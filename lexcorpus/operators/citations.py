@@ -141,6 +141,32 @@ def citation_tree(cites: DataFrame, roots: DataFrame, max_depth: int = 2) -> Dat
     return out
 
 
+def deep_citation_tree(cites: DataFrame, roots: DataFrame, max_depth: int, rows: int = 100_000_000) -> DataFrame:
+    """The paths of `citation_tree` to any depth, by one recursive query.
+
+    The number of paths grows with fan-out to the power of the depth, so this is for few roots or for
+    edges of one kind. The session's limit of rows in a recursion is raised to `rows` if it is lower;
+    a tree beyond it is an error, never cut.
+    """
+    if max_depth < 1:
+        raise ValueError("depth must be at least 1")
+    spark = cites.sparkSession
+    limit = "spark.sql.cteRecursionRowLimit"
+    if 0 <= int(spark.conf.get(limit)) < rows:
+        spark.conf.set(limit, str(rows))
+    edges = cites.where(F.col("cited_case_id").isNotNull()).groupBy(F.col("source_case_id").alias("at"), F.col("cited_case_id").alias("case_id")).agg(F.max("confidence").alias("confidence"), F.min("relationship").alias("relationship"))
+    return spark.sql(
+        f"""WITH RECURSIVE tree(root, case_id, depth, relationship, confidence, path) MAX RECURSION LEVEL {max_depth + 1} AS (
+            SELECT r.case_id, e.case_id, 1, e.relationship, e.confidence, array(r.case_id, e.case_id) FROM {{roots}} r JOIN {{edges}} e ON e.at = r.case_id WHERE e.case_id <> r.case_id
+            UNION ALL
+            SELECT t.root, e.case_id, t.depth + 1, e.relationship, e.confidence, concat(t.path, array(e.case_id)) FROM tree t JOIN {{edges}} e ON e.at = t.case_id
+            WHERE t.depth < {max_depth} AND NOT array_contains(t.path, e.case_id))
+        SELECT * FROM tree""",
+        roots=roots.select("case_id"),
+        edges=edges,
+    )
+
+
 #: Cited cases that travel to a judgment in one row.
 NAMES_A_ROW = 1000
 
