@@ -25,10 +25,11 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, decimals: in
     so that ties do not hang on the order of additions. Null vectors and null vectors' rows take
     no part, and neither do zero vectors.
     """
-    wide, high = (max(1, math.ceil(x.count() / n)) for x, n in ((queries, QUERIES_A_BLOCK), (corpus, ROWS_A_BLOCK)))
     fit = lambda df: df.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))
-    left = fit(queries).select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(wide)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("j"))
-    right = fit(corpus).select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(high)).alias("j"))
+    queries, corpus = fit(queries), fit(corpus)
+    wide, high = (max(1, math.ceil(x.count() / n)) for x, n in ((queries, QUERIES_A_BLOCK), (corpus, ROWS_A_BLOCK)))
+    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(wide)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("j"))
+    right = corpus.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("i"), F.pmod(F.xxhash64("id"), F.lit(high)).alias("j"))
 
     def normal(vectors: pd.Series) -> np.ndarray:
         x = np.stack(vectors.to_list()).astype(float)
@@ -39,8 +40,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, decimals: in
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         c = c.sort_values("id", kind="stable")
         scores = np.round(normal(q["vector"]) @ normal(c["vector"]).T, decimals)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]), "id": c["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, axis=1).ravel()})
+        least = np.partition(scores, max(0, len(c) - k), axis=1)[:, max(0, len(c) - k)]
+        row, at = np.nonzero(scores >= least[:, None])  # at least k of each query, with all that tie with the k-th
+        score = scores[row, at]
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row[best]], "id": c["id"].to_numpy()[at[best]], "score": score[best]})
 
     met = left.select("i", "j", "query_id", "vector").groupBy("i", "j").cogroup(right.select("i", "j", "id", "vector").groupBy("i", "j")).applyInPandas(product, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

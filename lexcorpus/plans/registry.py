@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexcorpus.plans import corpus_queries, index_queries, search_queries, stored_queries
+from lexcorpus.plans import corpus_queries, index_queries, search_queries, stored_queries, whole_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**search_queries.QUERIES, **corpus_queries.QUERIES, **index_queries.QUERIES, **stored_queries.QUERIES}
+    return {**search_queries.QUERIES, **corpus_queries.QUERIES, **index_queries.QUERIES, **stored_queries.QUERIES, **whole_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search_queries.SQL, **corpus_queries.SQL, **index_queries.SQL, **stored_queries.SQL}
+    return {**search_queries.SQL, **corpus_queries.SQL, **index_queries.SQL, **stored_queries.SQL, **whole_queries.SQL}

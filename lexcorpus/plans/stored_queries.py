@@ -92,10 +92,10 @@ register(
 # J4 to depth 4 along the edges of one kind; the unrolled joins stop at 3.
 register(
     "j4_deep_tree",
-    """e AS (SELECT source_case_id AS at, cited_case_id AS case_id, max(confidence) AS confidence, min(relationship) AS relationship FROM cites WHERE cited_case_id IS NOT NULL AND relationship = 'followed' GROUP BY ALL),
+    """e AS (SELECT source_case_id AS src, cited_case_id AS case_id, max(confidence) AS confidence, min(relationship) AS relationship FROM cites WHERE cited_case_id IS NOT NULL AND relationship = 'followed' GROUP BY ALL),
 t AS (SELECT root, case_id, depth, relationship, round(confidence, 6) AS confidence, array_to_string(path, '/') AS path FROM (
- WITH RECURSIVE x AS (SELECT at AS root, case_id, 1 AS depth, relationship, confidence, [at, case_id] AS path FROM e WHERE CAST(at AS BIGINT) % 20 = 0 AND at <> case_id
- UNION ALL SELECT root, e.case_id, depth + 1, e.relationship, e.confidence, list_append(path, e.case_id) FROM x JOIN e ON e.at = x.case_id WHERE depth < 4 AND NOT list_contains(path, e.case_id)) SELECT * FROM x))
+ WITH RECURSIVE x AS (SELECT src AS root, case_id, 1 AS depth, relationship, confidence, [src, case_id] AS path FROM e WHERE CAST(src AS BIGINT) % 20 = 0 AND src <> case_id
+ UNION ALL SELECT root, e.case_id, depth + 1, e.relationship, e.confidence, list_append(path, e.case_id) FROM x JOIN e ON e.src = x.case_id WHERE depth < 4 AND NOT list_contains(path, e.case_id)) SELECT * FROM x))
 SELECT * FROM t""",
 )(
     lambda f: citations.deep_citation_tree(f.cites.where("relationship = 'followed'"), f.cases.where(F.col("case_id").cast("bigint") % 20 == 0), 4).withColumns(
