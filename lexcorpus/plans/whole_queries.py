@@ -1,4 +1,4 @@
-"""Registered queries that show what other queries of the same operators leave out."""
+"""Registered queries that show what other queries of the same operators leave out."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexcorpus.functions import dictionaries as D
 from lexcorpus.functions import text as X
 from lexcorpus.functions import treatment as T
-from lexcorpus.operators import citations, paging, query_tables, search
+from lexcorpus.operators import citations, evidence, paging, query_tables, search
 from lexcorpus.plans.corpus_queries import _ANY, _CLASSES, _COUNTED, _Q, _RULE, _TREATED, _asked
 from lexcorpus.plans.fixtures import Fixtures, oracle
 from lexcorpus.plans.search_queries import _ASSEMBLED, _COMPOSED, _assembled
@@ -115,3 +115,19 @@ FROM (SELECT *, CASE WHEN named AND NOT listed AND NOT law THEN 0.4 ELSE 0 END +
 )(
     lambda f: query_tables.intents(_asked(f).withColumn("case_id", F.when(F.col("query_id") % 3 == 0, "c"))).select("query_id", "output_type", F.array_join("para_types", ",").alias("para_types"), "confidence")
 )
+
+# K1 with the text of its spans
+_WINDOW = """CASE WHEN instr(lower(text), 'rewh') > 81 THEN '...' ELSE '' END || substring(text, greatest(1, instr(lower(text), 'rewh') - 80),
+ least(length(text), instr(lower(text), 'rewh') + 83) - greatest(1, instr(lower(text), 'rewh') - 80) + 1) || CASE WHEN instr(lower(text), 'rewh') + 83 < length(text) THEN '...' ELSE '' END"""
+register(
+    "k1_fragments",
+    f"""h AS (SELECT case_id, para_no, text, len(regexp_extract_all(lower(text), 'rewh')) AS hits, substring(text, 1, 60) AS head FROM paras),
+u AS (SELECT *, row_number() OVER (PARTITION BY case_id, head ORDER BY hits DESC, para_no) AS same FROM h WHERE hits > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, para_no) AS rank FROM u WHERE same = 1),
+w AS (SELECT *, {_WINDOW} AS window_text FROM r WHERE rank <= 3)
+SELECT case_id, CAST(rank AS INT) AS rank, para_no, CAST(hits AS INT) AS hits, window_text, len(regexp_extract_all(lower(window_text), 'rewh')) AS highlighted FROM w""",
+)(
+    lambda f: evidence.snippets(f.paras, f.cases, ["rewh"])
+    .select("case_id", F.inline("fragments"))
+    .select("case_id", "rank", "para_no", "hits", F.array_join("spans.text", "").alias("window_text"), F.size(F.filter("spans", lambda s: s["highlighted"])).cast("long").alias("highlighted"))
+)
