@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,31 +111,51 @@ def allowed_pattern(allow: tuple[str, ...] = ALLOWED) -> str:
     return r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})(?![A-Za-z0-9])" for p in allow) + ")" if allow else r"(?!)"
 
 
+def _covers(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether one of `spans` holds (start, end): of those that start no later, the farthest end decides."""
+    starts, reach = [], []
+    for a, b in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    return lambda lo, hi: (i := bisect_right(starts, lo)) > 0 and reach[i - 1] >= hi
+
+
 def scan_text(text: str | None, allowed: re.Pattern, classes: tuple = CLASSES) -> list[Span]:
     """All spans of one text, by start and then by kind as listed."""
     if not text:
         return []
     runs = [(m.start(), m[0]) for m in _RUN.finditer(text)]
     spans = _base(text, runs)
+    looked = []
     for at, run in runs:
-        if not any(c.isdigit() for c in run) and min(sum(map(str.isupper, run)), sum(map(str.islower, run))) < MIXED_CASE:
-            continue
-        fine = [m.span() for m in allowed.finditer(run)]
-        for name, chars, width, bits in classes:
+        if any(c.isdigit() for c in run) or min(sum(map(str.isupper, run)), sum(map(str.islower, run))) >= MIXED_CASE:
+            looked.append((at, run, _covers(m.span() for m in allowed.finditer(run))))
+    # Spans of one class never hold each other, so a class asks the base and the classes before it only.
+    for name, chars, width, bits in classes:
+        taken = _covers((a, b) for _, a, b in spans)
+        for at, run, fine in looked:
             for m in chars.finditer(run):
-                if any(a <= m.start() and m.end() <= b for a, b in fine):
+                if len(m[0]) < width or fine(*m.span()):
                     continue
                 mixed = math.inf if name == "hex" or WORDS.fullmatch(m[0]) else MIXED_BITS
                 for lo, hi in _windows(m[0], width, bits, mixed):
-                    if any(a <= m.start() + lo and m.start() + hi <= b for a, b in fine):
-                        continue
-                    lo, hi = at + m.start() + lo, at + m.start() + hi
-                    if not any(a <= lo and hi <= b for _, a, b in spans):
-                        spans.append((f"entropy_{name}", lo, hi))
+                    lo, hi = m.start() + lo, m.start() + hi
+                    if not fine(lo, hi) and not taken(at + lo, at + hi):
+                        spans.append((f"entropy_{name}", at + lo, at + hi))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 
 
+def redact_text(text: str, spans: list[Span], mark: str) -> str:
+    """`text` with `mark` in place of every span (sorted by start); what overlaps is replaced as one."""
+    slices, at = [], 0
+    for _, a, b in spans:
+        if a >= at:
+            slices += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*slices, text[at:]])
+
+
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Adds `out_col`: the spans of each text as an array of (kind, start, end)."""
     pattern = allowed_pattern(allow)
@@ -149,15 +170,13 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets", allow:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`df` with every secret in its text replaced; overlapping spans are replaced as one."""
-    found = scan(df, text_col, "__spans")
-    merged = F.aggregate(
-        "__spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda state, s: F.struct(
-            F.when(s["start"] >= state["at"], F.concat(state["out"], F.substring(F.col(text_col), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["at"], s["end"]).alias("at"),
-        ),
-        lambda state: F.concat(state["out"], F.substring(F.col(text_col), state["at"] + 1, F.length(text_col))),
-    )
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, merged).otherwise(F.col(text_col))).drop("__spans")
+    """`df` with every secret in its text replaced; overlapping spans are replaced as one. Null stays null."""
+    pattern = allowed_pattern()
+
+    @F.pandas_udf("string")
+    def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        allowed = re.compile(pattern)
+        for texts in batches:
+            yield pd.Series([t and redact_text(t, scan_text(t, allowed), mark) for t in texts], dtype=object)
+
+    return df.withColumn(text_col, redacted(F.col(text_col)))

@@ -1,6 +1,7 @@
 """The operators of lexcorpus.llm against brute force, exact round trips and libraries, and their odd cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -80,6 +81,44 @@ def test_license_rules(spark):
     assert licenses.scan(spark.createDataFrame([(gpl,)], "text string")).first().sentence_ids == ["Gpl2", "GplLater"]
 
 
+LICENSE_CASES = [
+    ("# SPDX-License-Identifier: MIT-0", ["MIT-0"], 0),
+    ("// SPDX-License-Identifier: BSD-3-Clause-Clear\nint x;", ["BSD-3-Clause-Clear"], 0),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */ int main", ["GPL-2.0-or-later"], 0),
+    ("spdx-license-identifier: mit OR apache-2.0\nMIT", ["MIT", "Apache-2.0"], 0),
+    ("SPDX-License-Identifier: (LGPL-2.1-only OR (MIT AND BSD-2-Clause)) and more", ["LGPL-2.1", "MIT", "BSD-2-Clause"], 0),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note OR GPL-3.0-or-later WITH GCC-exception-3.1.", ["GPL-2.0 WITH Linux-syscall-note", "GPL-3.0-or-later WITH GCC-exception-3.1"], 0),
+    ("SPDX-License-Identifier: Apache-2.0+\nSPDX-License-Identifier: LicenseRef-Own", ["Apache-2.0+"], 1),
+    ("SPDX-License-Identifier:", [], 1),
+    ("You may use version 2 of the GNU General Public License.", ["GPL-2.0"], 0),
+    ("Under version 3 of the GNU Lesser General Public License, or (at your option) any later version.", ["LGPL-3.0-or-later"], 0),
+    ("This work is under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"], 0),
+    ("Text under Creative Commons Attribution-ShareAlike 3.0", ["CC-BY-SA-3.0"], 0),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"], 0),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. 1. The origin of this software must not be misrepresented; you must not. 2. Altered source versions must be plainly marked as such, and. 3. This notice may not be removed or altered from any source distribution.", ["Zlib"], 0),
+    ("Licensed under the zlib license", ["Zlib"], 0),
+    ("the terms of the Eclipse Public License v. 2.0 which is available", ["EPL-2.0"], 0),
+    ("This is not licensed under the Apache License, Version 2.0", [], 1),
+    ("It is no longer available under the MIT license but licensed under the Apache License, Version 2.0", ["Apache-2.0"], 1),
+    ("Released under the new BSD license. Or licensed under the ISC license.", ["BSD-3-Clause", "ISC"], 0),
+    ("", [], 0),
+    (None, [], 0),
+]
+
+
+def test_license_expressions_versions_and_negation(spark, duck):
+    rows = spark.createDataFrame([(k, t, "x", "y") for k, (t, *_) in enumerate(LICENSE_CASES)], "doc_id int, text string, __left0 string, ids string")
+    made = licenses.scan(rows)
+    assert made.columns == [*rows.columns, "sentence_ids", "licenses", "unmatched"]
+    got = {r.doc_id: r for r in made.collect()}
+    for k, (text, names, unmatched) in enumerate(LICENSE_CASES):
+        assert (got[k].licenses, got[k].unmatched) == (names, unmatched), (text, got[k])
+    duck.register("license_cases", rows.select("doc_id", "text").toPandas())
+    for k, names, ids, unmatched in duck.execute(licenses.oracle("license_cases")).fetchall():
+        assert (names, ids, unmatched) == (",".join(got[k].licenses), ",".join(got[k].sentence_ids), got[k].unmatched)
+    assert len({n for n, _ in licenses.RULES + licenses.LATER} | set(licenses.SPDX)) >= 60
+
+
 def test_full_license_notices(spark):
     head = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\n"
     rest = "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n"
@@ -310,6 +349,19 @@ def test_allowed_strings_do_not_hide_their_neighbours():
         assert secret_scan.scan_text(text, allowed) == [], text
 
 
+def test_many_secrets_take_linear_time():
+    allowed = re.compile(secret_scan.allowed_pattern())
+    rnd = random.Random(8)
+    tokens = ["".join(rnd.choices("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQ0123456789", k=32)) for _ in range(20_000)]
+    for sign in " .":  # one run each, and one run of them all
+        text, start = sign.join(tokens), time.process_time()
+        spans = secret_scan.scan_text(text, allowed)
+        assert len(spans) > 0.99 * len(tokens) and len(secret_scan.redact_text(text, spans, "")) < 0.05 * len(text)
+        assert time.process_time() - start < 30  # comparing every two spans takes minutes
+    inner = [s[1:] for s in spans if s[0] != "assign"]
+    assert len(set(inner)) == len(inner) and all(b[0] >= a[0] for a, b in itertools.pairwise(inner))
+
+
 def test_allow_list_and_redaction(spark):
     texts = ["key: 9aF3kQ2LmZx81PqRtUv7Bw5 end", "id 123e4567-e89b-12d3-a456-426614174000", "at 2024-01-01T00:00:00.000Z now", "password=hunter22 ok", "nothing", None]
     got = [r.text for r in secret_scan.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
