@@ -45,6 +45,10 @@ def _cc(short: str, long: str, version: str) -> str:
     return f"(cc|creative commons) ({short}|{long}) ({version.replace('.', ' ')}|{version.replace('.', ' ')} international)"
 
 
+def _cc_id(kind: str, version: str) -> str:
+    return f"Cc{''.join(x.capitalize() for x in kind.split('-'))}{version.replace('.0', '').replace('.', '')}"
+
+
 #: Creative Commons licences, as tags and as words, and their versions; longer names first.
 CREATIVE = (
     ("BY-NC-SA", "attribution non ?commercial share ?alike"),
@@ -82,7 +86,7 @@ SENTENCES = (
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("BsdNames", r"may be used to endorse or promote products derived from this software"),
     ("BsdAsIs", r"this software is provided by the (copyright holders|authors?) and contributors as is"),
-    *((f"Cc{k}{v}".replace("-", "").replace(".", ""), _cc(k.lower().replace("-", " "), words, v)) for k, words in CREATIVE for v in CREATIVE_VERSIONS),
+    *((_cc_id(k, v), _cc(k.lower().replace("-", " "), words, v)) for k, words in CREATIVE for v in CREATIVE_VERSIONS),
     ("Cc0", r"(cc0|cc zero|creative commons zero) (v ?)?1 0"),
     ("Mpl2", r"mozilla public licen[cs]e (version |v ?)?2 0"),
     ("Mpl11", r"mozilla public licen[cs]e (version |v ?)?1 1"),
@@ -133,7 +137,7 @@ RULES = (
     ("BSD-2-Clause", ("Bsd2Name",)),
     ("Zlib", ("ZlibAsIs", "ZlibOrigin", "ZlibAltered", "ZlibNotice")),
     ("Zlib", ("ZlibName",)),
-    *((f"CC-{k}-{v}", (f"Cc{k}{v}".replace("-", "").replace(".", ""),)) for k, _ in CREATIVE for v in CREATIVE_VERSIONS),
+    *((f"CC-{k}-{v}", (_cc_id(k, v),)) for k, _ in CREATIVE for v in CREATIVE_VERSIONS),
     ("CC0-1.0", ("Cc0",)),
     ("MPL-2.0", ("Mpl2",)),
     ("MPL-1.1", ("Mpl11",)),
