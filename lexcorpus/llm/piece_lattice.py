@@ -13,8 +13,10 @@ from its merges. Units of every length take the same way: long ones are exploded
 the fold keeps the scores of the last letters only.
 
 `encode` looks the words that are frequent in a bounded sample up in a broadcast table of their
-paths, which the lattice made before; that choice changes how fast it is, never what comes out. All
-other units of a text travel with it, in one shuffle by row, to where their edges are grouped.
+paths, which the lattice made before; that choice changes how fast it is, never what comes out. The
+other units of all texts are encoded once each, however often they occur, and joined back by unit; a
+unit that a third of the rows share and the table does not hold is left to Spark's splitting of
+skewed joins. The texts are cut once, and what came of it is written with numbered rows.
 
 Null and empty texts have no pieces. Repeated texts get equal ids, rows keep their number; other
 columns pass through, but one with the output's name is replaced. Letters that are no Unicode text
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,16 +41,20 @@ from lexcorpus.llm.common import checkpointed
 MARK = "▁"
 #: Letters of a unit that are exploded and folded in one block.
 BLOCK = 64
-#: Letters of text, or units alone, in one partition, so that their edges fit in memory.
-CHARS_A_PARTITION, UNITS_A_PARTITION = 300_000, 1_500
+#: Edges of a unit that are folded in one chunk.
+CHUNK = 256
+#: Letters of units in one partition, so that their edges (two a letter or so) fit in memory.
+CHARS_A_PARTITION = 200_000
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
-SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 50_000, 400_000, 32
+SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 20_000, 400_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-#: The id of an edge over an unknown letter.
-UNKNOWN = -1
+#: An edge is one long: its end, its length (in so many bits) and its id (likewise), so that edges sort by them in turn.
+_LENGTH, _ID = 6, 31
+#: The id of an edge over an unknown letter is this and its code point.
+UNKNOWN = 1 << 30
 
 
 class Pieces:
@@ -67,8 +74,8 @@ class Pieces:
         self.size, self.first_byte, self.longest = len(every), bytes_[0], max(len(p) for p, *_ in self.normal)
         self.unknown = min(s for *_, s in self.normal) - UNKNOWN_PENALTY
         self.pairs = {p[i : i + 2] for p, *_ in self.normal for i in range(len(p) - 1)}
-        if self.longest > BLOCK:
-            raise ValueError("a piece is longer than a block")
+        if self.longest >= 1 << _LENGTH or self.size >= UNKNOWN:
+            raise ValueError("a piece is longer than a block, or there are too many")
         if not {c for p, *_ in self.normal for c in p} <= {p for p, *_ in self.normal}:
             raise ValueError("a letter of a piece is no piece")  # it would stand alone only as an unknown one
 
@@ -76,6 +83,11 @@ class Pieces:
         """piece, id, piece_score; its size is that of the vocabulary."""
         return spark.createDataFrame(self.normal, "piece string, id int, piece_score double")
 
+    def scores(self) -> Column:
+        """Per id its score, as a constant array."""
+        known = {i: s for _, i, s in self.normal}
+        return F.split(F.lit(",".join(repr(known.get(i, self.unknown)) for i in range(self.size))), ",").cast("array<double>")
+
     def hexes(self) -> Column:
         """Per id the UTF-8 it stands for, as hexadecimal digits; nothing for control ids."""
         known = {i: p.replace(MARK, " ").encode().hex() for p, i, _ in self.normal} | {self.first_byte + b: f"{b:02x}" for b in range(256)}
@@ -92,77 +104,127 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _fold(steps: Column, longest: int) -> Column:
-    """The best path of a unit, as one array for each `BLOCK` of its `steps` (per end, its edges).
+def _length(edge: Column) -> Column:
+    return F.shiftright(edge, _ID).bitwiseAND(F.lit((1 << _LENGTH) - 1)).cast("int")
+
+
+def _id(edge: Column) -> Column:
+    return edge.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int")
 
-    An element tells, for one position, the best score up to it and the length and id of the last
-    piece; a block's array starts with those of the positions that its own pieces may start from.
-    """
-    start = F.array(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("length"), F.lit(0).alias("id"))))
 
-    def settled(path: Column, step: Column) -> Column:
-        """`path` and one position more, with the best of the edges that end there."""
-        before = lambda e: F.get(path, F.size(path) - e["length"])["score"]
-        return F.array_append(path, F.array_max(F.transform(step["edges"], lambda e: F.struct((before(e) + e["score"]).alias("score"), e["length"].alias("length"), e["id"].alias("id")))))
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, _ID + _LENGTH)
 
-    def block(paths: Column, b: Column) -> Column:
+
+def _fold(edges: Column, pieces: Pieces) -> Column:
+    """Per position of a unit the best score up to it and the edge that ends there, as one array for each `CHUNK` of edges.
+
+    Edges are sorted, so those of one end are neighbours and the longer ones come later. A chunk's
+    array starts with the last `longest + 1` positions of the one before it, from which its own
+    edges may start; the last of them is still open, as edges of the same end may follow.
+    """
+    # A letter without a piece has an id beyond the table.
+    score = lambda e: F.coalesce(F.get(pieces.scores(), _id(e)), F.lit(pieces.unknown))
+    start = F.array(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("edge"))))
+
+    def settled(path: Column, e: Column) -> Column:
+        last = F.element_at(path, -1)
+        reached = lambda back: F.element_at(path, F.negative(back))["score"] + score(e)
+        at = lambda back: F.struct(reached(back).alias("score"), e.alias("edge"))
+        opened = F.array_append(path, at(_length(e)))
+        replaced = F.array_append(F.slice(path, F.lit(1), F.size(path) - 1), at(_length(e) + 1))
+        return F.when(_end(e) > _end(last["edge"]), opened).when(reached(_length(e) + 1) >= last["score"], replaced).otherwise(path)
+
+    def chunk(paths: Column, c: Column) -> Column:
         last = F.element_at(paths, -1)
-        tail = F.when(F.size(last) > longest, F.slice(last, F.lit(-longest), longest)).otherwise(last)
-        return F.array_append(paths, F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), tail, settled))
+        tail = F.when(F.size(last) > pieces.longest + 1, F.slice(last, F.lit(-pieces.longest - 1), pieces.longest + 1)).otherwise(last)
+        return F.array_append(paths, F.aggregate(F.slice(edges, c * CHUNK + 1, F.lit(CHUNK)), tail, settled))
 
-    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), start, block)
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / CHUNK).cast("int")), start, chunk)
 
 
-def _ids(steps: Column) -> Column:
-    """The ids along a path, from its last position (`steps` holds one element for each) back to the first."""
-    start = F.struct(F.size(steps).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("filled"))
+def _positions(paths: Column, longest: int) -> Column:
+    """The arrays of `_fold` as one, with an element for each position after the start.
+
+    Of each array remain its own positions and the one that was open when it began; the one that it
+    leaves open is taken from the next.
+    """
+    last = F.size(paths) - 1
+
+    def own(path: Column, k: Column) -> Column:
+        repeated = F.least(F.size(F.get(paths, k - 1)), F.lit(longest + 1))
+        return F.when(k == 0, F.slice(path, F.lit(1), F.lit(0))).otherwise(F.slice(path, repeated, F.size(path) - repeated + F.when(k == last, 1).otherwise(0)))
+
+    every = F.flatten(F.transform(paths, own))
+    return F.slice(every, F.lit(2), F.size(every))
+
+
+def _ids(edges: Column) -> Column:
+    """The ids along a path, from its last position (`edges` holds the best one for each) back to the first."""
+    start = F.struct(F.size(edges).alias("at"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<array<int>>").alias("filled"))
 
     def back(state: Column, j: Column) -> Column:
-        step = F.get(steps, j - 1)
-        at = (j - step["length"]).alias("at")
-        full = F.struct(at, F.array(step["id"]).alias("ids"), F.array_append(state["filled"], state["ids"]).alias("filled"))
-        room = F.struct(at, F.array_append(state["ids"], step["id"]).alias("ids"), state["filled"].alias("filled"))
+        edge = F.get(edges, j - 1)
+        at = (j - _length(edge)).alias("at")
+        full = F.struct(at, F.array(_id(edge)).alias("ids"), F.array_append(state["filled"], state["ids"]).alias("filled"))
+        room = F.struct(at, F.array_append(state["ids"], _id(edge)).alias("ids"), state["filled"].alias("filled"))
         return F.when(state["at"] != j, state).when(F.size(state["ids"]) < BLOCK, room).otherwise(full)
 
-    return F.aggregate(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), start, back, lambda s: F.reverse(F.flatten(F.array_append(s["filled"], s["ids"]))))
+    return F.aggregate(F.sequence(F.size(edges), F.lit(1), F.lit(-1)), start, back, lambda s: F.reverse(F.flatten(F.array_append(s["filled"], s["ids"]))))
 
 
-def _byte_ids(letter: Column, first_byte: int) -> Column:
+def _byte_ids(code_point: Column, first_byte: int) -> Column:
+    letter = F.decode(F.unhex(F.lpad(F.hex(code_point), 8, "0")), "UTF-32")
     digits = F.hex(F.encode(letter, "utf-8"))
     return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int") + first_byte)
 
 
-def best_paths(units: DataFrame, pieces: Pieces, keys: list[str], carried: str | None = None) -> DataFrame:
-    """Best path of each row's `unit`: keys, score, ids (and the `carried` column, for one row of each key).
+def best_paths(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """Best path of each row's `unit`: keys, score, ids.
 
     Keys must be distinct; units must be cut as `Pieces.units` does, in which a letter that is no
     piece stands alone. A null unit has no ids and no score. Where `units` is already distributed
     by some of the keys, nothing is shuffled.
     """
-    extra = [carried] if carried else []
-    n = F.length("unit")
-    blocks = units.select(*keys, *extra, "unit", n.alias("n"), F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))).alias("block"))
-    part = F.when(n <= BLOCK, F.col("unit")).otherwise(F.substring("unit", F.col("block") * BLOCK - pieces.longest + 1 + F.when(F.col("block") == 0, F.lit(pieces.longest)).otherwise(F.lit(1)), F.lit(BLOCK + pieces.longest - 1)))
+    named = [f"k{i}" for i in range(len(keys))]
+    n = F.length("unit").alias("n")
+    own = units.select(*[F.col(k).alias(a) for k, a in zip(keys, named, strict=True)], "unit", n)
+    blocks = own.select(*named, "unit", "n", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")))).alias("block"))
     # A block's part starts `longest - 1` letters before the block itself, so that it holds all edges that end in it.
-    ahead = F.when(F.col("block") > 0, F.lit(pieces.longest - 1)).otherwise(F.lit(0))
-    parts = blocks.select(*keys, *extra, "block", part.alias("part"), ahead.alias("ahead"), F.when(n == 1, F.col("unit")).alias("lone"), F.least(F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK)).alias("here"))
-    starts = parts.select(*keys, *extra, "block", "part", "ahead", "here", "lone", F.explode_outer(F.sequence(F.lit(0), F.col("ahead") + F.col("here") - 1)).alias("start"))
-    bounded = F.sequence(F.greatest(F.lit(1), F.col("ahead") - F.col("start") + 1), F.least(F.lit(pieces.longest), F.col("ahead") + F.col("here") - F.col("start")))
-    spans = starts.select(*keys, *extra, "block", "part", "ahead", "lone", "start", F.explode_outer(F.when(F.col("start").isNotNull(), bounded)).alias("length"))
-    cut = spans.select(*keys, *extra, "block", "lone", "length", (F.col("block") * BLOCK + F.col("start") + F.col("length") - F.col("ahead")).alias("end"), F.substring("part", F.col("start") + 1, F.col("length")).alias("piece"))
-    met = cut.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | F.col("lone").isNotNull() | F.col("end").isNull())
-    edge = F.when(F.col("end").isNotNull(), F.struct("length", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("piece_score", F.lit(pieces.unknown)).alias("score")))
-    first = [F.get(F.collect_list(c), F.lit(0)).alias(c) for c in extra]
-    by_end = met.groupBy(*keys, "end").agg(*first, F.max("lone").alias("lone"), F.collect_list(edge).alias("edges"))
-    by_unit = by_end.groupBy(*keys).agg(*first, F.max("lone").alias("lone"), F.sort_array(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("end", "edges")))).alias("edges"))
-    some = F.size("edges") > 0
-    folded = by_unit.withColumn("paths", F.when(some, _fold(F.col("edges"), pieces.longest)))
-    # Each array but the first two repeats the end of the one before it; the first holds the start alone.
-    new = lambda p, k: F.when(k == 0, F.slice(p, F.lit(1), F.lit(0))).when(k == 1, F.slice(p, F.lit(2), F.size(p))).otherwise(F.slice(p, F.lit(pieces.longest + 1), F.size(p)))
-    stepped = folded.withColumn("steps", F.flatten(F.transform("paths", new)))
-    unknown = F.col("lone").isNotNull() & (F.get("steps", F.lit(0))["id"] == UNKNOWN)
-    ids = F.when(unknown, _byte_ids(F.col("lone"), pieces.first_byte)).when(some, _ids(F.col("steps")))
-    return stepped.select(*keys, *extra, F.element_at("steps", -1)["score"].alias("score"), ids.alias("ids"))
+    base = F.greatest(F.lit(0), F.col("block") * BLOCK - pieces.longest + 1).alias("base")
+    reach = F.substring("unit", base + 1, (F.col("block") + 1) * BLOCK - base)
+    parts = blocks.select(*named, "n", base, (F.col("block") * BLOCK - base).alias("ahead"), F.when(F.col("n") <= BLOCK, F.col("unit")).otherwise(reach).alias("part"))
+    sized = parts.select(*named, "n", "base", "ahead", "part", F.length("part").alias("here"))
+    starts = sized.select(*named, "n", "base", "ahead", "part", "here", F.explode_outer(F.sequence(F.lit(0), F.col("here") - 1)).alias("start"))
+    bounded = F.sequence(F.greatest(F.lit(1), F.col("ahead") - F.col("start") + 1), F.least(F.lit(pieces.longest), F.col("here") - F.col("start")))
+    spans = starts.select(*named, "n", "base", "part", "start", F.explode_outer(F.when(F.col("start").isNotNull(), bounded)).alias("length"))
+    end = (F.col("base") + F.col("start") + F.col("length")).cast("long").alias("end")
+    cut = spans.select(*named, "n", end, F.col("length").cast("long").alias("length"), F.substring("part", F.col("start") + 1, F.col("length")).alias("piece"))
+    met = cut.join(F.broadcast(pieces.table(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | F.col("n").isNull() | (F.col("n") <= 1))
+    value = F.coalesce(F.col("id"), F.lit(UNKNOWN) + F.ascii("piece")).cast("long")
+    edge = F.shiftleft("end", _ID + _LENGTH).bitwiseOR(F.shiftleft("length", _ID)).bitwiseOR(value)
+    by_unit = met.groupBy(*named).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    folded = by_unit.select(*named, F.when(F.size("edges") > 0, _fold(F.col("edges"), pieces)).alias("paths"))
+    placed = folded.select(*named, _positions(F.col("paths"), pieces.longest).alias("positions"))
+    found = placed.select(*named, F.element_at("positions", -1)["score"].alias("score"), F.col("positions.edge").alias("edges"))
+    first = _id(F.get("edges", F.lit(0)))
+    ids = F.when(first >= UNKNOWN, _byte_ids(first - UNKNOWN, pieces.first_byte)).otherwise(_ids(F.col("edges")))
+    return found.select(*[F.col(a).alias(k) for k, a in zip(keys, named, strict=True)], "score", ids.alias("ids"))
+
+
+def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
+    """unit and ids of distinct units, `letters` in all, written to the checkpoint folder.
+
+    A partition's groups fit in memory, so they are aggregated by hash instead of sorted.
+    """
+    conf, name = units.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, str(CHARS_A_PARTITION))
+    try:
+        spread = units.repartition(max(1, math.ceil(letters / CHARS_A_PARTITION)), "unit")
+        return checkpointed(best_paths(spread, pieces, ["unit"]).select("unit", "ids"))
+    finally:
+        conf.set(name, before)
 
 
 def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "text") -> dict[str, np.ndarray]:
@@ -188,23 +250,22 @@ def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "t
     best = named.where(F.length("part") <= FREQUENT_LENGTH).groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(FREQUENT)
     chosen = checkpointed(best.select("part", F.explode(cut("part")).alias("unit")))
     units = checkpointed(chosen.select("unit").distinct())
-    spread = units.withColumn("key", F.col("unit")).repartition(max(1, math.ceil(units.count() / UNITS_A_PARTITION)), "key")
-    paths = best_paths(spread, pieces, ["key"])
-    known = {r.key: np.array(r.ids, dtype="<i4") for r in paths.select("key", "ids").collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
+    letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
+    known = {r.unit: np.array(r.ids, dtype="<i4") for r in _made(units, pieces, letters).collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
     return {w: np.concatenate([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds `out_col`: the ids of each whole text (empty for null and empty texts)."""
+def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Adds `out_col`: the ids of each whole text (empty for null and empty texts), to the columns in `keep` (default: all)."""
     pieces = Pieces(model_path)
     kind = "<u2" if pieces.size < 1 << 16 else "<u4"
     hole = np.array([pieces.size], dtype=kind).tobytes()  # stands for a unit that the lattice is still to encode
-    size = df.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()
-    table = df.sparkSession.sparkContext.broadcast({w: ids.astype(kind).tobytes() for w, ids in frequent_words(df, pieces, size.texts, text_col).items()})
+    total = df.count()
+    table = df.sparkSession.sparkContext.broadcast({w: ids.astype(kind).tobytes() for w, ids in frequent_words(df, pieces, total, text_col).items()})
 
     @F.pandas_udf("frame binary, units array<string>")
     def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = table.value.get
+        known, pressed = table.value.get, zstandard.ZstdCompressor(level=1)
         for texts in batches:
             frames, rest = [], []
             for text in texts:
@@ -216,27 +277,29 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
                             own = [(known(u), u) for u in pieces.units(words[k])]
                             units += [u for ids, u in own if ids is None]
                             found[k] = b"".join([hole if ids is None else ids for ids, _ in own])
-                frames.append(b"".join(found))
+                frames.append(pressed.compress(b"".join(found)))
                 rest.append(units)
             yield pd.DataFrame({"frame": frames, "units": rest})
 
-    others = [c for c in df.columns if c != out_col]
-    named = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns"), looked_up(F.col(text_col)).alias("split"))
-    # One row for the text itself, which carries its columns, and one for each of its units.
-    lying = named.select("row", F.struct("columns", "split.frame").alias("text"), F.col("split.units").alias("units")).repartition(max(1, math.ceil(size.chars / CHARS_A_PARTITION)), "row")
-    itself = F.array(F.struct(F.lit(-1).alias("place"), F.lit(None).cast("string").alias("unit"), F.col("text").alias("text")))
-    nothing = F.lit(None).cast(lying.schema["text"].dataType)
-    spread = lying.select("row", F.explode(F.concat(itself, F.transform("units", lambda u, k: F.struct(k.alias("place"), u.alias("unit"), nothing.alias("text"))))).alias("item"))
-    paths = best_paths(spread.select("row", "item.*"), pieces, ["row", "place"], "text")
-    whole = paths.groupBy("row").agg(F.get(F.collect_list("text"), F.lit(0)).alias("text"), F.sort_array(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "ids")))).alias("paths"))
+    # Rows are numbered in what is written, so that their numbers stay when an executor is lost later on.
+    others = [c for c in df.columns if c != out_col and (keep is None or c in keep)]
+    columns = F.struct(F.lit(None).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns")
+    named = checkpointed(df.select(F.monotonically_increasing_id().alias("row"), columns, looked_up(F.col(text_col)).alias("split")))
+    units = named.select(F.explode("split.units").alias("unit")).distinct()
+    letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
+    paths = _made(units, pieces, letters)
+    places = named.select("row", F.posexplode("split.units").alias("place", "unit")).join(paths, "unit")
+    found = places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("paths"))
+    whole = named.select("row", "columns", "split.frame").join(found, "row", "left")
 
     @F.pandas_udf("array<int>")
     def filled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        plain = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for frame, sizes, ids in zip(*batch, strict=True):
-                known = np.frombuffer(frame, kind).astype(np.int32)
-                if len(sizes):
+                known = np.frombuffer(plain.decompress(frame), kind).astype(np.int32)
+                if sizes is not None and len(sizes):
                     holes = known == pieces.size
                     each = np.ones(len(known), dtype=np.int64)
                     each[holes] = sizes
@@ -245,8 +308,8 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
                 out.append(known)
             yield pd.Series(out, dtype=object)
 
-    ids = filled("text.frame", F.transform("paths.ids", F.size), F.flatten("paths.ids"))
-    return whole.select(*[F.col(f"text.columns.c{k}").alias(c) for k, c in enumerate(others)], ids.alias(out_col))
+    ids = filled("frame", F.transform("paths.ids", F.size), F.flatten("paths.ids"))
+    return whole.select(*[F.col(f"columns.c{k}").alias(c) for k, c in enumerate(others)], ids.alias(out_col))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

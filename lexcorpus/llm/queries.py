@@ -92,7 +92,7 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; the mark put in front of a text is taken off."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    made = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    made = piece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep=["doc_id"])
     back = piece_lattice.decode(made, model)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     text = F.substring("decoded", 2, 2**31 - 1)
