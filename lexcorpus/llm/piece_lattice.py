@@ -46,7 +46,7 @@ CHUNK = 256
 #: Letters of units in one partition, so that their edges (two a letter or so) fit in memory.
 CHARS_A_PARTITION = 200_000
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
-SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 20_000, 400_000, 32
+SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 20_000, 100_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -227,8 +227,8 @@ def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
         conf.set(name, before)
 
 
-def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "text") -> dict[str, np.ndarray]:
-    """Paths of the words and units that are most frequent in a bounded sample of `total` texts."""
+def frequent_words(df: DataFrame, pieces: Pieces, total: int, kind: str, text_col: str = "text") -> dict[str, bytes]:
+    """Paths of the words and units that are most frequent in a bounded sample of `total` texts, as ids of dtype `kind`."""
     sample = df.select(F.col(text_col).alias("text")).sample(min(1.0, SAMPLE_ROWS / max(1, total)), seed=1)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,14 +245,14 @@ def frequent_words(df: DataFrame, pieces: Pieces, total: int, text_col: str = "t
     def cut(words: pd.Series) -> pd.Series:
         return words.map(lambda w: pieces.units(w) if len(w) <= FREQUENT_LENGTH else [])
 
-    words = sample.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = sample.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     named = words.select("n", F.col("word"), F.explode(F.array_union(F.array("word"), cut("word"))).alias("part"))
     best = named.where(F.length("part") <= FREQUENT_LENGTH).groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(FREQUENT)
     chosen = checkpointed(best.select("part", F.explode(cut("part")).alias("unit")))
     units = checkpointed(chosen.select("unit").distinct())
     letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
-    known = {r.unit: np.array(r.ids, dtype="<i4") for r in _made(units, pieces, letters).collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
-    return {w: np.concatenate([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
+    known = {r.unit: np.array(r.ids, dtype=kind).tobytes() for r in _made(units, pieces, letters).collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
+    return {w: b"".join([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
     kind = "<u2" if pieces.size < 1 << 16 else "<u4"
     hole = np.array([pieces.size], dtype=kind).tobytes()  # stands for a unit that the lattice is still to encode
     total = df.count()
-    table = df.sparkSession.sparkContext.broadcast({w: ids.astype(kind).tobytes() for w, ids in frequent_words(df, pieces, total, text_col).items()})
+    table = df.sparkSession.sparkContext.broadcast(frequent_words(df, pieces, total, kind, text_col))
 
     @F.pandas_udf("frame binary, units array<string>")
     def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
