@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and cuts its lineage there.
+def _shared_folder(spark: SparkSession) -> str:
+    """Spark's checkpoint folder, set from spark.checkpoint.dir where it is not yet.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset and
-    Spark runs on one machine (tests) a temporary folder is taken.
+    Only where that is unset and Spark runs on one machine (tests) a temporary folder is taken.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes `df` to the shared checkpoint folder and cuts its lineage there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, for columns that Parquet can hold."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hashable(df: DataFrame) -> list[str]:
     """The columns of `df` that can be hashed: all but those that hold a map or a variant."""
     return [f"`{f.name}`" for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]

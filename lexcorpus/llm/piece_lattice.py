@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexcorpus.llm.common import checkpointed
+from lexcorpus.llm.common import checkpointed, written
 
 MARK = "▁"
 #: Letters of a unit that are exploded and folded in one block.
@@ -44,7 +44,7 @@ BLOCK = 64
 #: Edges of a unit that are folded in one chunk.
 CHUNK = 256
 #: Letters of units in one partition, so that their edges (two a letter or so) fit in memory.
-CHARS_A_PARTITION = 200_000
+CHARS_A_PARTITION = 300_000
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
 SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 20_000, 100_000, 32
 #: Fixed value: what an unknown letter scores below the least piece.
@@ -213,7 +213,7 @@ def best_paths(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
 
 
 def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
-    """unit and ids of distinct units, `letters` in all, written to the checkpoint folder.
+    """unit and ids of distinct units, of at most `letters` in all, written to the checkpoint folder.
 
     A partition's groups fit in memory, so they are aggregated by hash instead of sorted.
     """
@@ -222,7 +222,7 @@ def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
     conf.set(name, str(CHARS_A_PARTITION))
     try:
         spread = units.repartition(max(1, math.ceil(letters / CHARS_A_PARTITION)), "unit")
-        return checkpointed(best_paths(spread, pieces, ["unit"]).select("unit", "ids"))
+        return written(best_paths(spread, pieces, ["unit"]).select("unit", "ids"))
     finally:
         conf.set(name, before)
 
@@ -265,7 +265,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
 
     @F.pandas_udf("frame binary, units array<string>")
     def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, pressed = table.value.get, zstandard.ZstdCompressor(level=1)
+        known, pressed = table.value.get, zstandard.ZstdCompressor(level=3)
         for texts in batches:
             frames, rest = [], []
             for text in texts:
@@ -283,11 +283,12 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
 
     # Rows are numbered in what is written, so that their numbers stay when an executor is lost later on.
     others = [c for c in df.columns if c != out_col and (keep is None or c in keep)]
-    columns = F.struct(F.lit(None).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns")
-    named = checkpointed(df.select(F.monotonically_increasing_id().alias("row"), columns, looked_up(F.col(text_col)).alias("split")))
-    units = named.select(F.explode("split.units").alias("unit")).distinct()
+    columns = F.struct(F.lit(None).cast("int").alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns")
+    cut = df.select(F.monotonically_increasing_id().alias("row"), columns, looked_up(F.col(text_col)).alias("split"))
+    named = written(cut) if keep is not None else checkpointed(cut)  # Parquet cannot hold every type
+    units = named.select(F.explode("split.units").alias("unit"))
     letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
-    paths = _made(units, pieces, letters)
+    paths = _made(units.distinct(), pieces, letters)
     places = named.select("row", F.posexplode("split.units").alias("place", "unit")).join(paths, "unit")
     found = places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("paths"))
     whole = named.select("row", "columns", "split.frame").join(found, "row", "left")
