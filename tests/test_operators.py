@@ -360,3 +360,25 @@ def test_issue_words_meet_judgments_without_a_product(spark):
     assert [(r.case_id, r.by) for r in got.collect()] == [("1", "word")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_vector_topk_over_many_blocks_and_partitions(spark, monkeypatch):
+    import numpy as np
+
+    from lexcorpus.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES_A_BLOCK", 4)
+    monkeypatch.setattr(vectors, "ROWS_A_BLOCK", 16)
+    x = np.random.default_rng(5).normal(size=(100, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        got = {(r.query_id, r.rank): r.id for r in vectors.vector_topk(rows.where("id < 10").withColumnRenamed("id", "query_id"), rows, 5).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(unit[:10] @ unit.T), axis=1, kind="stable")[:, :5]
+    assert got == {(q, k + 1): best[q, k] for q in range(10) for k in range(5)}
