@@ -51,3 +51,17 @@ def test_a_deep_page_sorts_one_range(spark):
     assert "Offset" in plan and "Filter" in plan.split("Sort")[1]
     skipped = int(plan.split("Offset ")[1].split()[0]) if "Offset " in plan else 0
     assert skipped < paging.FEW
+
+
+def test_a_deep_tree_has_no_limit_of_rows(spark):
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    edges = [(f"{a}.{i}", f"{a + 1}.{j}") for a in range(4) for i in range(3) for j in range(3)]
+    cites = spark.createDataFrame(edges, "source_case_id string, cited_case_id string").withColumns({"relationship": F.lit("followed"), "confidence": F.lit(0.5)})
+    try:
+        spark.conf.set(limit, "5")
+        made = citations.deep_citation_tree(cites, spark.createDataFrame([("0.0",)], "case_id string"), 4)
+        assert made.count() == 3 + 9 + 27 + 81 and spark.conf.get(limit) == "5"
+        assert "UnionLoop" not in made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
