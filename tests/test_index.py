@@ -278,3 +278,17 @@ def test_name_levels_equal_plain_code(spark):
 def test_field_values_must_not_be_empty():
     with pytest.raises(ValueError):
         field_contains("court", " ")
+
+
+def test_searches_over_many_blocks_equal_the_scan(spark, folder, index, monkeypatch):
+    monkeypatch.setattr(postings, "QUERIES_A_BLOCK", 3)
+    monkeypatch.setattr(postings, "CASES_A_BLOCK", 40)
+    monkeypatch.setattr(postings, "CELLS_AT_ONCE", 10)
+    f = Fixtures(spark, folder)
+    asked = index_queries.searches(f).select(F.col("query_id").cast("string").alias("query_id"), "terms").limit(9).localCheckpoint()
+    asked = asked.union(spark.createDataFrame([("x", ["the", "THE", "of"]), (None, ["the", "nosuchword"])], "query_id string, terms array<string>"))
+    for share in (1.0, 0.6, 0.3):
+        made = postings.search_many(asked, index, share)
+        assert sorted(map(repr, made.collect())) == sorted(map(repr, search.search_many(asked, f.paras, share).collect()))
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" not in plan and "RepartitionBy" in plan  # pairs are not tried one by one
