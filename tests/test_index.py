@@ -292,3 +292,18 @@ def test_searches_over_many_blocks_equal_the_scan(spark, folder, index, monkeypa
         assert sorted(map(repr, made.collect())) == sorted(map(repr, search.search_many(asked, f.paras, share).collect()))
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "array_intersect" not in plan and "RepartitionBy" in plan  # pairs are not tried one by one
+
+
+def test_similar_names_over_many_blocks_equal_all_pairs(spark, monkeypatch):
+    for name, value in (("RIGHT_A_BLOCK", 20), ("LEFT_A_BLOCK", 15), ("CELLS_AT_ONCE", 50), ("WORDS", 1)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefé", k=rng.randrange(2, 6))) for _ in range(40)]
+    names = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 6))) for _ in range(120)}) + [""]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    made = similarity.similar_names(df, df, 0.6)
+    got = [(r.a, r.b, r.similarity) for r in made.collect()]
+    wanted = {(a, b): s for a in names for b in names if (s := plain_similarity(a, b)) > 0.6}
+    assert {(a, b): s for a, b, s in got} == pytest.approx(wanted) and len(got) == len(wanted)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # pairs are counted, not joined piece by piece
