@@ -190,6 +190,33 @@ def test_positions_equal_the_patterns_on_odd_texts(spark):
     assert postings.proximity_many(asked.withColumn("left", F.lit("--")), index).count() == 0
 
 
+def test_searches_by_distance_take_cases_in_parts(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = {(c, p): " ".join(rng.choices(["a", "b", "c", "a-b", "d."], k=rng.randrange(1, 9))) for c in range(25) for p in range(4)}
+    index = postings.build(spark.createDataFrame([(str(c), p, t) for (c, p), t in texts.items()], "case_id string, para_no int, text string"), "part_postings", 2)
+    cut = [(i, a, b, n, o) for i, (a, b, n, o) in enumerate((a, b, n, o) for a in ("a", "b", "c d") for b in ("a", "c", "d a") for n in (1, 3) for o in (True, False))]
+    asked = spark.createDataFrame([*cut, *cut[:3]], "query_id int, left string, right string, n int, ordered boolean")
+    monkeypatch.setattr(postings, "CELLS_AT_ONCE", 3)
+    monkeypatch.setattr(postings, "PAIRS_A_BLOCK", 10)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
+    try:
+        df = postings.proximity_many(asked, index)
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set(setting, before)
+    whole = lambda words: r"\s+".join(rf"(?<!\w){w}(?!\w)" for w in words.split())
+    wanted = set()
+    for i, a, b, n, ordered in cut:
+        for x, y in [(a, b)] if ordered else [(a, b), (b, a)]:
+            wanted |= {(i, str(c)) for (c, _), t in texts.items() if re.search(rf"{whole(x)}(?:\s+\S+){{0,{n - 1}}}\s+{whole(y)}", t)}
+    assert got == sorted(wanted)
+    # Postings meet the words asked for and go to the blocks of their cases; no row is made for a query and a paragraph.
+    plan = _plan(df)
+    assert "map_from_entries" not in plan and "leading" not in plan and plan.count("collect_list") == 0
+
+
 # Alike strings
 
 
