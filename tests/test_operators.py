@@ -382,3 +382,26 @@ def test_vector_topk_over_many_blocks_and_partitions(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     best = np.argsort(-(unit[:10] @ unit.T), axis=1, kind="stable")[:, :5]
     assert got == {(q, k + 1): best[q, k] for q in range(10) for k in range(5)}
+
+
+def test_word_hits_keep_what_hybrid_ranks(spark, monkeypatch):
+    import random
+
+    from lexcorpus.operators import search, vectors
+
+    rng = random.Random(5)
+    words = ["state", "union", "court", "rent", "land", "tax"]
+    cases = spark.createDataFrame([(str(c), " ".join(rng.choices(words, k=4)), rng.choice([None, 1950, 1990, 2020])) for c in range(60)], "case_id string, case_name string, year int")
+    paras = spark.createDataFrame(
+        [(str(c), f"{c}_{p}", " ".join(rng.choices(words, k=5)), rng.choice([None, 0.1, 0.5, 0.9, 0.99])) for c in range(60) for p in range(4)],
+        "case_id string, paragraph_id string, text string, relevance_score double",
+    )
+    asked = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in words for b in words if a < b)], "query_id long, query string").withColumn("terms", F.split("query", " "))
+    other = spark.createDataFrame([(rng.randrange(15), str(rng.randrange(60)), f"v{i}", round(rng.random(), 2) - 0.2, "paragraph") for i in range(200)], "query_id long, case_id string, paragraph_id string, relevance_score double, result_type string")
+    named = asked.select("query_id", (F.col("query_id") * 3).cast("string").alias("case_id"), F.lit(None).cast("string").alias("paragraph_id"))
+    cites = spark.createDataFrame([("3", "x")], "source_case_id string, target_citation string")
+    every = search.search_many(asked, paras.select(F.col("paragraph_id").alias("case_id"), "text")).select("query_id", F.col("case_id").alias("paragraph_id")).join(paras, "paragraph_id")
+    few = vectors.word_hits(asked, paras, cases, 3, year_from=1960)
+    result = lambda hits: sorted(map(tuple, vectors.hybrid(asked, hits.withColumn("result_type", F.lit("paragraph")), named, other, cases, cites, 3, year_from=1960).collect()))
+    assert result(few) == result(every)
+    assert few.count() < every.count() / 3
