@@ -405,3 +405,17 @@ def test_word_hits_keep_what_hybrid_ranks(spark, monkeypatch):
     result = lambda hits: sorted(map(tuple, vectors.hybrid(asked, hits.withColumn("result_type", F.lit("paragraph")), named, other, cases, cites, 3, year_from=1960).collect()))
     assert result(few) == result(every)
     assert few.count() < every.count() / 3
+
+
+def test_a_judgment_meets_all_citations_of_its_case_at_once(spark):
+    cases = spark.createDataFrame([("a", "A v. B", 1990, "x " * 300 + "As in (1950) 1 SCC 7, the İ claim of rent is allowed. More"), ("b", None, None, None)], "case_id string, case_name string, year int, judgment string")
+    paras = spark.createDataFrame([("a_0", 0)], "paragraph_id string, para_no int")
+    edges = [("a", "b", "(1950) 1 SCC 7", None, "a_0"), ("a", None, "(1950) 1 SCC 7", "", None), ("a", "a", "none", None, "a_1"), ("a", "a", None, None, "a_1"), ("a", "b", "s", "as in s, it was upheld by the court.", "a_0"), ("b", "a", "t", None, None), ("gone", "a", "t", None, None)]
+    cites = spark.createDataFrame(edges, "source_case_id string, cited_case_id string, target_citation string, context_sentence string, paragraph_id string").withColumns({"relationship": F.lit("cited"), "confidence": F.lit(0.5), "created_at": F.lit(1)})
+    df = citations.citation_contexts(cites, cases, paras, window=20)
+    got = sorted((r.source_case_id, r.target_citation or "", r.cited_case_id or "", r.cited_year or 0, r.context) for r in df.collect())
+    text = "x x x x x x x As in (1950) 1 SCC 7, the İ claim of ren"
+    assert [g for g in got if g[1] != "(1950) 1 SCC 7"] == [("a", "", "a", 1990, ""), ("a", "none", "a", 1990, ""), ("a", "s", "b", 0, "as in s, it was upheld by the court."), ("b", "t", "a", 1990, ""), ("gone", "t", "a", 1990, "")]
+    assert [g[4] for g in got if g[1] == "(1950) 1 SCC 7"] == [text, text] and {r.rank for r in df.where("source_case_id = 'a'").collect()} == {1, 2, 3, 4, 5}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.count("lower(judgment") == 1

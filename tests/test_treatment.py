@@ -51,3 +51,11 @@ def test_empty_tables(spark):
     assert T.Scanner().read("", ["x", ""]) == [[0] * 5] * 2 and T.Scanner().read("text", []) == []
     with pytest.raises(AttributeError):
         T.Scanner().read(None, [])
+
+
+def test_prevailing_is_the_dominant_count(spark):
+    phrases = [p for some in T.TREATMENTS.values() for p in some]
+    texts = [(None,), ("",), *((f"x {a} y {b.upper()}, {a}",) for a, b in zip(phrases, [*phrases[7:], *phrases[:7]], strict=True)), *((f"{b} {a}",) for a, b in zip(phrases, [*phrases[3:], *phrases[:3]], strict=True))]
+    df = spark.createDataFrame(texts, "text string").select(T.prevailing(F.col("text")).alias("a"), T.dominant(T.counts(F.col("text"))).alias("b"))
+    rows = df.collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) > 3
