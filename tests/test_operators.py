@@ -136,6 +136,19 @@ def test_name_resolution(spark):
     assert got[1] == ("2", 1) and got[3] == ("1", 4) and got[5] == ("1", 2) and 2 not in got and 4 not in got
 
 
+def test_equal_mentions_are_resolved_once(spark, monkeypatch):
+    compared = []
+    alike = query_tables.similar_names
+    monkeypatch.setattr(query_tables, "similar_names", lambda a, b: compared.append(a.count()) or alike(a, b))
+    cases = spark.createDataFrame([("1", "Nandini Sharma v Union"), ("2", "Ramesh Lal v State")], "case_id string, case_name string")
+    asked = [(i, ("nandini sharma", "the Nandini, SHARMA", "ramesh lal", "bail")[i % 4]) for i in range(400)] + [(0, "nandini sharma"), (400, None)]
+    got = sorted((r.mention_id, r.case_id, r.level) for r in query_tables.resolve_names(spark.createDataFrame(asked, "mention_id int, mention string"), cases).collect())
+    assert compared == [2]
+    one = {r.mention_id: (r.case_id, r.level) for r in query_tables.resolve_names(spark.createDataFrame(asked[:4], "mention_id int, mention string"), cases).collect()}
+    assert one[0] == one[1] == ("1", 1) and one[2][0] == "2"
+    assert got == [(i, *one[i % 4]) for i in range(400) if i % 4 in one]
+
+
 def test_intents(spark):
     asked = [(1, "cases on bail"), (2, "section 420"), (3, "what is bail"), (4, "verdict today"), (5, "hello")]
     got = {r.i: (r.output_type, r.confidence) for r in query_tables.intents(spark.createDataFrame(asked, "i int, query string")).collect()}
