@@ -13,10 +13,10 @@ from its merges. Units of every length take the same way: long ones are exploded
 the fold keeps the scores of the last letters only.
 
 `encode` looks the words that are frequent in a bounded sample up in a broadcast table of their
-paths, which the lattice made before; that choice changes how fast it is, never what comes out. The
-other units of all texts are encoded once each, however often they occur, and joined back by unit; a
-unit that a third of the rows share and the table does not hold is left to Spark's splitting of
-skewed joins. The texts are cut once, and what came of it is written with numbered rows.
+paths, which the lattice made before; that choice changes how fast it is, never what comes out. Texts
+are cut once, in chunks of some thousand rows that are written in buckets: what the table gave, with a
+hole for each other unit, and these units once. The units of all chunks are encoded once each, written in
+buckets by unit, meet their chunks there and come to them once; neither texts nor paths are shuffled.
 
 Null and empty texts have no pieces. Repeated texts get equal ids, rows keep their number; other
 columns pass through, but one with the output's name is replaced. Letters that are no Unicode text
@@ -25,18 +25,20 @@ columns pass through, but one with the output's name is replaced. Letters that a
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexcorpus.llm.common import checkpointed, written
+from lexcorpus.llm.common import bucketed, checkpointed
 
 MARK = "▁"
 #: Letters of a unit that are exploded and folded in one block.
@@ -47,6 +49,8 @@ CHUNK = 256
 CHARS_A_PARTITION = 300_000
 #: Rows of the sample in which frequent words are sought, words whose paths are broadcast, and the longest of them.
 SAMPLE_ROWS, FREQUENT, FREQUENT_LENGTH = 20_000, 100_000, 32
+#: Letters of texts (and one text more at most) in one chunk, and chunks of a partition when the paths come back to them.
+CHUNK_LETTERS, CHUNKS_A_PARTITION = 4_000_000, 4
 #: Fixed value: what an unknown letter scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -99,6 +103,10 @@ class Pieces:
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def blocks(letters: int, size: int) -> int:
+    return max(1, -(-letters // size))
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text; joined together they are the escaped text."""
     return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -212,8 +220,8 @@ def best_paths(units: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     return found.select(*[F.col(a).alias(k) for k, a in zip(keys, named, strict=True)], "score", ids.alias("ids"))
 
 
-def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
-    """unit and ids of distinct units, of at most `letters` in all, written to the checkpoint folder.
+def _made(units: DataFrame, pieces: Pieces, partitions: int) -> DataFrame:
+    """unit and ids of the distinct units of `units`, as a table in so many buckets by unit.
 
     A partition's groups fit in memory, so they are aggregated by hash instead of sorted.
     """
@@ -221,8 +229,8 @@ def _made(units: DataFrame, pieces: Pieces, letters: int) -> DataFrame:
     before = conf.get(name)
     conf.set(name, str(CHARS_A_PARTITION))
     try:
-        spread = units.repartition(max(1, math.ceil(letters / CHARS_A_PARTITION)), "unit")
-        return written(best_paths(spread, pieces, ["unit"]).select("unit", "ids"))
+        spread = units.repartition(partitions, "unit").distinct()
+        return bucketed(best_paths(spread, pieces, ["unit"]).select("unit", "ids"), partitions, "unit")
     finally:
         conf.set(name, before)
 
@@ -249,68 +257,94 @@ def frequent_words(df: DataFrame, pieces: Pieces, total: int, kind: str, text_co
     named = words.select("n", F.col("word"), F.explode(F.array_union(F.array("word"), cut("word"))).alias("part"))
     best = named.where(F.length("part") <= FREQUENT_LENGTH).groupBy("part").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(FREQUENT)
     chosen = checkpointed(best.select("part", F.explode(cut("part")).alias("unit")))
-    units = checkpointed(chosen.select("unit").distinct())
-    letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
-    known = {r.unit: np.array(r.ids, dtype=kind).tobytes() for r in _made(units, pieces, letters).collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
+    letters = chosen.agg(F.sum(F.length("unit"))).first()[0] or 0
+    known = {r.unit: np.array(r.ids, dtype=kind).tobytes() for r in _made(chosen.select("unit"), pieces, blocks(letters, CHARS_A_PARTITION)).collect()}  # at most FREQUENT words of FREQUENT_LENGTH letters
     return {w: b"".join([known[u] for u in pieces.units(w)]) for (w,) in chosen.select("part").distinct().collect()}
 
 
+def _pressed(codes: np.ndarray) -> bytes:
+    """Codes of 32 bits, their lower and upper halves apart: the upper ones are nearly all 0."""
+    halves = codes.view("<u2").reshape(-1, 2)
+    return zstandard.ZstdCompressor(level=3).compress(halves.T.tobytes())
+
+
+def _codes(frame: bytes) -> np.ndarray:
+    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), "<u2")
+    return np.ascontiguousarray(halves.reshape(2, -1).T).view("<u4").ravel()
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `out_col`: the ids of each whole text (empty for null and empty texts), to the columns in `keep` (default: all)."""
     pieces = Pieces(model_path)
-    kind = "<u2" if pieces.size < 1 << 16 else "<u4"
-    hole = np.array([pieces.size], dtype=kind).tobytes()  # stands for a unit that the lattice is still to encode
-    total = df.count()
-    table = df.sparkSession.sparkContext.broadcast(frequent_words(df, pieces, total, kind, text_col))
-
-    @F.pandas_udf("frame binary, units array<string>")
-    def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, pressed = table.value.get, zstandard.ZstdCompressor(level=3)
-        for texts in batches:
-            frames, rest = [], []
-            for text in texts:
-                words, units = words_of(text or ""), []
-                found = list(map(known, words))
-                if None in found:
-                    for k, ids in enumerate(found):
-                        if ids is None:
-                            own = [(known(u), u) for u in pieces.units(words[k])]
-                            units += [u for ids, u in own if ids is None]
-                            found[k] = b"".join([hole if ids is None else ids for ids, _ in own])
-                frames.append(pressed.compress(b"".join(found)))
-                rest.append(units)
-            yield pd.DataFrame({"frame": frames, "units": rest})
-
-    # Rows are numbered in what is written, so that their numbers stay when an executor is lost later on.
+    total, letters = df.agg(F.count("*"), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
+    table = df.sparkSession.sparkContext.broadcast(frequent_words(df, pieces, total, "<u4", text_col))
+    size = pieces.size  # code size + k is the k-th of the units of a chunk that the lattice is still to encode
+
+    def chunk(texts: list[str | None]) -> tuple[bytes, list[int], list[str]]:
+        known, units, rare, parts, lengths = table.value.get, {}, {}, [], []
+        for text in texts:
+            words = words_of(text or "")
+            found = list(map(known, words))
+            if None in found:
+                for k, ids in enumerate(found):
+                    if ids is None:
+                        word = words[k]
+                        if word not in rare:
+                            own = [known(u) or (size + units.setdefault(u, len(units))).to_bytes(4, "little") for u in pieces.units(word)]
+                            rare[word] = b"".join(own)
+                        found[k] = rare[word]
+            parts.append(b"".join(found))
+            lengths.append(len(parts[-1]) // 4)
+        return _pressed(np.frombuffer(b"".join(parts), "<u4")), lengths, list(units)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(np.diff(sizes // CHUNK_LETTERS, append=-1)) + 1
+            for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                rows = batch.slice(start, end - start)
+                frame, lengths, units = chunk(rows.column("text").to_pylist())
+                one = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("columns"))
+                yield pa.RecordBatch.from_arrays([one, pa.array([frame], pa.binary()), pa.array([lengths], pa.list_(pa.int32())), pa.array([units], pa.list_(pa.string()))], ["rows", "frame", "lengths", "units"])
+
     others = [c for c in df.columns if c != out_col and (keep is None or c in keep)]
     columns = F.struct(F.lit(None).cast("int").alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("columns")
-    cut = df.select(F.monotonically_increasing_id().alias("row"), columns, looked_up(F.col(text_col)).alias("split"))
-    named = written(cut) if keep is not None else checkpointed(cut)  # Parquet cannot hold every type
-    units = named.select(F.explode("split.units").alias("unit"))
-    letters = units.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0]
-    paths = _made(units.distinct(), pieces, letters)
-    places = named.select("row", F.posexplode("split.units").alias("place", "unit")).join(paths, "unit")
-    found = places.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("paths"))
-    whole = named.select("row", "columns", "split.frame").join(found, "row", "left")
-
-    @F.pandas_udf("array<int>")
-    def filled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        plain = zstandard.ZstdDecompressor()
+    taken = df.select(F.col(text_col).cast("string").alias("text"), columns)
+    schema = T.StructType([T.StructField("rows", T.ArrayType(taken.schema["columns"].dataType)), T.StructField("frame", T.BinaryType()), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("units", T.ArrayType(T.StringType()))])
+    # Chunks are numbered in what is written, so that their numbers stay when an executor is lost later on.
+    cuts = taken.mapInArrow(cut, schema).withColumn("chunk", F.monotonically_increasing_id())
+    wide = blocks(letters, CHUNKS_A_PARTITION * CHUNK_LETTERS)
+    named = bucketed(cuts, wide, "chunk") if keep is not None else checkpointed(cuts)  # Parquet cannot hold every type
+    left = named.select(F.explode("units").alias("unit"))
+    parts = blocks(left.agg(F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()[0], CHARS_A_PARTITION)
+    paths = _made(left, pieces, parts)
+    places = named.select("chunk", F.posexplode("units").alias("k", "unit")).repartition(parts, "unit").join(paths, "unit")
+    found = places.select("chunk", "k", "ids").repartition(wide, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("k", "ids")).alias("paths"))
+    whole = named.select("chunk", "rows", "frame", "lengths").join(found, "chunk", "left").select("rows", "frame", "lengths", "paths.k", "paths.ids")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for frame, sizes, ids in zip(*batch, strict=True):
-                known = np.frombuffer(plain.decompress(frame), kind).astype(np.int32)
-                if sizes is not None and len(sizes):
-                    holes = known == pieces.size
-                    each = np.ones(len(known), dtype=np.int64)
-                    each[holes] = sizes
-                    known = np.repeat(known, each)
-                    known[np.repeat(holes, each)] = ids
-                out.append(known)
-            yield pd.Series(out, dtype=object)
-
-    ids = filled("frame", F.transform("paths.ids", F.size), F.flatten("paths.ids"))
-    return whole.select(*[F.col(f"columns.c{k}").alias(c) for k, c in enumerate(others)], ids.alias(out_col))
+            for at in range(batch.num_rows):
+                rows, frame, lengths, k, ids = (c[at] for c in batch.columns)
+                codes = _codes(frame.as_py())
+                each, starts, values = np.ones(len(codes), np.int64), np.zeros(len(codes), np.int64), codes.astype(np.int32)
+                hole = codes >= size
+                if hole.any():
+                    lists = ids.values
+                    place = np.argsort(k.values.to_numpy())[codes[hole] - size]
+                    many = pc.list_value_length(lists).to_numpy()
+                    each[hole], starts[hole] = many[place], (np.cumsum(many) - many)[place]
+                    inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    gather, values = np.repeat(hole, each), np.repeat(values, each)
+                    values[gather] = lists.flatten().to_numpy()[(np.repeat(starts, each) + inner)[gather]]
+                ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(lengths.values.to_numpy())])]
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.values, made], ["columns", "ids"])
+
+    out = T.StructType([taken.schema["columns"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return whole.mapInArrow(filled, out).select(*[F.col(f"columns.c{k}").alias(c) for k, c in enumerate(others)], F.col("ids").alias(out_col))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

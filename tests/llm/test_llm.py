@@ -670,6 +670,28 @@ def test_lattice_query_covers_whole_documents(spark, folder, docs, monkeypatch):
         assert (got[k].n_pieces, got[k].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
 
 
+def test_lattice_shuffles_neither_texts_nor_paths(spark, folder, docs, monkeypatch):
+    monkeypatch.setattr(piece_lattice, "FREQUENT", 100)
+    rows = docs.select("doc_id", "text").limit(40).union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")).coalesce(1)
+    one = {r.doc_id: r.ids for r in piece_lattice.encode(rows, PIECES, keep=["doc_id"]).collect()}
+    monkeypatch.setattr(piece_lattice, "CHUNK_LETTERS", 1000)  # a chunk for each text or so
+    made = piece_lattice.encode(rows, PIECES, keep=["doc_id"])
+    assert one == {r.doc_id: r.ids for r in made.collect()} and one[-1] == one[-2] == [] and len(one) == 42
+    joins = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as for tables that are not small
+    before = {k: spark.conf.get(k) for k in joins}
+    try:
+        for k, v in joins.items():
+            spark.conf.set(k, v)
+        plan = piece_lattice.encode(rows, PIECES, keep=["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffled) == 2 and not any("frame" in line for line in shuffled)  # units to their paths, paths to their chunks
+    none = piece_lattice.encode(rows.where("doc_id < 0"), PIECES, keep=["doc_id"]).collect()
+    assert [r.ids for r in none] == [[], []]
+
+
 def test_texts_round_trip(spark, odd):
     rows = odd.where(F.length("text").isNull() | (F.length("text") < 1000)).withColumn("hex", F.lit("ff")).withColumn("row", F.lit(3))
     got = piece_lattice.decode(piece_lattice.encode(rows, PIECES), PIECES)
