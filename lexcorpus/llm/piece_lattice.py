@@ -16,7 +16,7 @@ the fold keeps the scores of the last letters only.
 paths, which the lattice made before; that choice changes how fast it is, never what comes out. Texts
 are cut once, in chunks of some thousand rows that are written in buckets: what the table gave, with a
 hole for each other unit, and these units once. The units of all chunks are encoded once each, written in
-buckets by unit, meet their chunks there and come to them once; neither texts nor paths are shuffled.
+buckets by unit, meet their chunks there and come to them once; texts are not shuffled.
 
 Null and empty texts have no pieces. Repeated texts get equal ids, rows keep their number; other
 columns pass through, but one with the output's name is replaced. Letters that are no Unicode text

@@ -670,7 +670,7 @@ def test_lattice_query_covers_whole_documents(spark, folder, docs, monkeypatch):
         assert (got[k].n_pieces, got[k].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
 
 
-def test_lattice_shuffles_neither_texts_nor_paths(spark, folder, docs, monkeypatch):
+def test_lattice_shuffles_no_texts(spark, folder, docs, monkeypatch):
     monkeypatch.setattr(piece_lattice, "FREQUENT", 100)
     rows = docs.select("doc_id", "text").limit(40).union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")).coalesce(1)
     one = {r.doc_id: r.ids for r in piece_lattice.encode(rows, PIECES, keep=["doc_id"]).collect()}
